@@ -29,11 +29,71 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), vocabulary_path())
 
 
+def op3_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skeinlog.llm.site_spread import report
+
+    return report(documents(spark, sf_dir), SPREAD_SITES)
+
+
+def op4_hamming_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skeinlog.llm.hamming_tree import components
+
+    return components(documents(spark, sf_dir))
+
+
+def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skeinlog.llm.quality_ledger import POLICIES, judged
+
+    return judged(documents(spark, sf_dir), POLICIES[2])
+
+
+def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skeinlog.llm.mixing import Mix, schedule
+
+    return schedule(documents(spark, sf_dir), Mix(entropy=0.95, max_epochs=3.0))
+
+
+#: A line of three words or more on this many of the sources is boilerplate.
+SPREAD_SITES = 10
+
+_OP3 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, text, coalesce('s' || source, '-') AS site FROM documents),
+l AS (SELECT doc_id, t, site, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM d),
+w AS (SELECT * FROM l WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 3),
+s AS (SELECT line, min((doc_id, pos)) AS first_place FROM w GROUP BY line HAVING count(DISTINCT site) >= {SPREAD_SITES}),
+g AS (SELECT doc_id, t, pos FROM w JOIN s USING (line) WHERE (doc_id, pos) <> first_place),
+k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
+      coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS stays
+      FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+SELECT doc_id, n_lines, n_removed, length(stays) AS n_chars_kept, sha256(stays) AS kept_sha256 FROM k
+"""
+
+_OP6 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+      [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM d),
+v AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS win
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM v QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws) AS n_words, length(t) - (length(t) - length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))) AS word_chars,
+      length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+      coalesce(c.n, 0) AS n_repeat_words, len(ls) AS n_lines,
+      length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_capitals
+      FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
+f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (5 * n_symbols > n_words)::BIGINT
+      + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT
+      + 32 * (word_chars > 20 * n_words)::BIGINT + 64 * (2 * n_capitals > word_chars)::BIGINT AS failures FROM m)
+SELECT *, (failures & 3) <> 0 AS base_failed, (failures & 127) = 0 AS kept, 2::INTEGER AS policy FROM f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage."""
-    return {f.__name__: f for f in (op7_token_counts, op9_bpe_round_trip)}
+    found = (op3_site_spread, op4_hamming_tree, op6_quality_ledger, op7_token_counts, op9_bpe_round_trip, op10_temperature_mix)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL twins of those queries that SQL can express."""
-    return {}
+    return {"op3_site_spread": _OP3, "op6_quality_ledger": _OP6}
