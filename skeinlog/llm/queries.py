@@ -41,6 +41,12 @@ def op4_hamming_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(documents(spark, sf_dir))
 
 
+def op5_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skeinlog.llm.context_trees import identified
+
+    return identified(documents(spark, sf_dir))
+
+
 def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skeinlog.llm.quality_ledger import POLICIES, judged
 
@@ -90,7 +96,7 @@ SELECT *, (failures & 3) <> 0 AS base_failed, (failures & 127) = 0 AS kept, 2::I
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage."""
-    found = (op3_site_spread, op4_hamming_tree, op6_quality_ledger, op7_token_counts, op9_bpe_round_trip, op10_temperature_mix)
+    found = (op3_site_spread, op4_hamming_tree, op5_context_trees, op6_quality_ledger, op7_token_counts, op9_bpe_round_trip, op10_temperature_mix)
     return {f.__name__: f for f in found}
 
 
