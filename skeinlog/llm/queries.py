@@ -29,6 +29,12 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), vocabulary_path())
 
 
+def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skeinlog.llm.progressive_jpeg import media_features
+
+    return media_features(documents(spark, sf_dir))
+
+
 def op3_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skeinlog.llm.site_spread import report
 
@@ -96,7 +102,7 @@ SELECT *, (failures & 3) <> 0 AS base_failed, (failures & 127) = 0 AS kept, 2::I
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage."""
-    found = (op3_site_spread, op4_hamming_tree, op5_context_trees, op6_quality_ledger, op7_token_counts, op9_bpe_round_trip, op10_temperature_mix)
+    found = (op1_progressive_jpeg, op3_site_spread, op4_hamming_tree, op5_context_trees, op6_quality_ledger, op7_token_counts, op9_bpe_round_trip, op10_temperature_mix)
     return {f.__name__: f for f in found}
 
 
