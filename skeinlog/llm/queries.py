@@ -23,6 +23,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary_path())
 
 
+def op8_template_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skeinlog.llm.template_slots import extracted
+
+    return extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skeinlog.llm.heap_bpe import round_trip
 
@@ -102,7 +108,7 @@ SELECT *, (failures & 3) <> 0 AS base_failed, (failures & 127) = 0 AS kept, 2::I
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage."""
-    found = (op1_progressive_jpeg, op3_site_spread, op4_hamming_tree, op5_context_trees, op6_quality_ledger, op7_token_counts, op9_bpe_round_trip, op10_temperature_mix)
+    found = (op1_progressive_jpeg, op3_site_spread, op4_hamming_tree, op5_context_trees, op6_quality_ledger, op7_token_counts, op8_template_slots, op9_bpe_round_trip, op10_temperature_mix)
     return {f.__name__: f for f in found}
 
 
