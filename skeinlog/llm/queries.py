@@ -41,6 +41,12 @@ def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(documents(spark, sf_dir))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skeinlog.llm.best_fit import encoder, packed
+
+    return packed(documents(spark, sf_dir), encoder(vocabulary_path()))
+
+
 def op3_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skeinlog.llm.site_spread import report
 
@@ -108,7 +114,7 @@ SELECT *, (failures & 3) <> 0 AS base_failed, (failures & 127) = 0 AS kept, 2::I
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage."""
-    found = (op1_progressive_jpeg, op3_site_spread, op4_hamming_tree, op5_context_trees, op6_quality_ledger, op7_token_counts, op8_template_slots, op9_bpe_round_trip, op10_temperature_mix)
+    found = (op1_progressive_jpeg, op2_best_fit_packing, op3_site_spread, op4_hamming_tree, op5_context_trees, op6_quality_ledger, op7_token_counts, op8_template_slots, op9_bpe_round_trip, op10_temperature_mix)
     return {f.__name__: f for f in found}
 
 

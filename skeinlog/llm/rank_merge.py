@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from skeinlog.llm.common import map_text
-from skeinlog.llm.vocab import CountCoder, Vocabulary, load
+from skeinlog.llm.vocab import CountCoder, IdCoder, Vocabulary, load
 
 _NONE = np.int32(2**31 - 1)
 
@@ -138,6 +138,13 @@ def _counter(path: str) -> CountCoder:
     return CountCoder(load(path), lambda pieces: count_pieces(table, pieces))
 
 
+@functools.lru_cache(maxsize=4)
+def id_coder(path: str) -> IdCoder:
+    """As ``_counter``, for ids."""
+    table = pair_table(path)
+    return IdCoder(load(path), lambda pieces: id_pieces(table, pieces))
+
+
 def token_counts(df: DataFrame, path: str, text: str = "text", keys: list[str] | None = None, limit: int = 1024) -> DataFrame:
     """``keys``, ``n_bytes``, ``n_tokens`` and ``over_limit`` of every row.
 

@@ -91,6 +91,7 @@ class WordCoder:
             parts.clear()
         if len(self.pieces) > self.CACHE:
             self.pieces.clear()
+        # a text's first word stands without a space before it, so its key in the cache is marked
         split, slow = [], []
         for k, text in enumerate(texts):
             if any(m in text for m in marks):
@@ -98,20 +99,18 @@ class WordCoder:
                 slow.append(k)
                 continue
             words = text.split(" ")
-            first = words[0]
-            words = list(map(" ".__add__, words))
-            words[0] = first
+            words[0] = " " + words[0]
             split.append(words)
         fresh = set()
         for words in split:
             if words is not None:
                 fresh.update(words)
-        fresh = [w for w in fresh if w not in parts]
+        fresh.difference_update(parts.keys() & fresh)
         # str.isspace also holds for U+001C to U+001F, which the pattern takes as visible: the slow way is right for them too
         cut, wild_parts = {}, set()
         for w in fresh:
             if w and not w[-1].isspace():
-                cut[w] = find(w)
+                cut[w] = find(w[1:] if w[0] == " " else " " + w)
             else:
                 wild_parts.add(w)
         wild = {}
