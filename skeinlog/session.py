@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +47,21 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="skeinlog-ck-"))
     return df.checkpoint(eager)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh path in the folder that the cluster shares (``spark.checkpoint.dir``), or in a temporary one if that is unset."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skeinlog-")
+    return f"{named.rstrip('/')}/skeinlog-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a Parquet table at ``path``, reread: lineage ends in files that all executors share."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file system classes."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
