@@ -115,9 +115,13 @@ SELECT *, (failures & 3) <> 0 AS base_failed, (failures & 127) = 0 AS kept, 2::I
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage."""
     found = (op1_progressive_jpeg, op2_best_fit_packing, op3_site_spread, op4_hamming_tree, op5_context_trees, op6_quality_ledger, op7_token_counts, op8_template_slots, op9_bpe_round_trip, op10_temperature_mix)
-    return {f.__name__: f for f in found}
+    from corpus_pipeline import run
+
+    return {f.__name__: f for f in found} | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL twins of those queries that SQL can express."""
-    return {"op3_site_spread": _OP3, "op6_quality_ledger": _OP6}
+    from corpus_pipeline import ORACLE_SQL
+
+    return {"op3_site_spread": _OP3, "op6_quality_ledger": _OP6} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
