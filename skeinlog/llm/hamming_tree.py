@@ -307,7 +307,7 @@ def one_of_each(df: DataFrame, text: str = "text", doc: str = "doc_id", radius:
     """
     found = components(df, text, doc, radius)
     per_id = checkpointed(found.groupBy(F.col(f"`{doc}`").alias("__id")).agg(F.count("*").alias("n"), F.min("component_id").alias("low")).where("__id is not null and (n > 1 or low < __id)"))
-    sizes = per_id.agg(F.count_if("low < __id").alias("gone"), F.count_if("n > 1").alias("twice")).first()
+    sizes = per_id.agg(F.count_if(F.expr("low < __id")).alias("gone"), F.count_if(F.expr("n > 1")).alias("twice")).first()
     gone = per_id.where("low < __id").select(F.col("__id").alias("__gone"))
     kept = df.join(F.broadcast(gone) if sizes.gone <= BROADCAST_IDS else gone, F.col(f"`{doc}`") == F.col("__gone"), "left_anti")
     if not sizes.twice:

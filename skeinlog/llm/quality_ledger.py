@@ -158,7 +158,8 @@ def keep_good(df: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
     """The rows of ``df`` that ``policy`` keeps, with the columns of ``df``.
 
     The row travels through the ledger as one struct, so that no join is needed
-    and no column name can clash.
+    and no column name can clash.  It is unpacked by ``inline`` rather than kept
+    by a filter: a filter would be pushed below the measurements and repeat them.
     """
     row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(f"`{text}`").alias("__text"))
-    return judged(row, policy, "__text", ["__row"]).where("kept").select(*[F.col("__row").getField(c).alias(c) for c in df.columns])
+    return judged(row, policy, "__text", ["__row"]).select(F.inline(F.when(F.col("kept"), F.array("__row"))))
