@@ -147,7 +147,7 @@ def fit(samples: dict[str, list[bytes]], order: int = 3) -> Model:
             if m < order:
                 value = value + (joined[own - m - 1] << (8 * (m + 1)))
     for m in range(order + 1):
-        every = np.unique(np.concatenate([g for g, _ in seen[m]]))
+        every = np.unique(np.concatenate([np.zeros(0, np.int64), *[g for g, _ in seen[m]]]))
         contexts = np.unique(every >> 8)
         cost = np.full((len(every) + 1, len(langs)), np.nan, np.float32)
         leave = np.zeros((len(contexts) + 1, len(langs)), np.float32)

@@ -665,4 +665,4 @@ def decode_media(df: DataFrame, column: str = "media", keys: list[str] | None =
 
     kept = df.select(*[F.col(f"`{k}`") for k in keys or ["doc_id"]], F.col(f"`{column}`").alias("__bytes"))
     schema = kept.drop("__bytes").schema
-    return kept.mapInArrow(work, schema.add("height", "int").add("width", "int").add("rgb", "binary"))
+    return kept.mapInArrow(work, schema.add("height", "integer").add("width", "integer").add("rgb", "binary"))
