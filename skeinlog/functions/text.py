@@ -24,14 +24,30 @@ def starts_with_any(text: Column, prefixes: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.startswith(text, F.lit(p)) for p in prefixes], F.lit(False))
 
 
+def _quoted(texts: list[str]) -> str:
+    return "(?:" + "|".join(r"\Q" + t + r"\E" for t in texts) + ")"
+
+
+#: One pattern each: these functions name their argument once, so that nested calls stay small plans.
+_HIDDEN = r"(?U)^\s*" + _quoted(C.INJECTED_PREFIXES + C.LOCAL_COMMAND_PREFIXES)
+_SCHEDULED = C.SCHEDULED_PATTERN + r"(?U)\s*"
+_FIRST, _SECOND = (r"\Q" + m + r"\E" for m in C.ATTACHMENT_MARKERS)
+_ATTACHMENTS = rf"(?s)^\Q{C.ATTACHMENT_OPENING}\E(?:(?=.*?{_FIRST}).*?{_FIRST}|.*?{_SECOND})(?U)\s*"
+
+
 def is_hidden_context(text: Column) -> Column:
     """Injected context or local-command telemetry rather than a prompt."""
-    return starts_with_any(trim_space(text), C.INJECTED_PREFIXES + C.LOCAL_COMMAND_PREFIXES)
+    return F.rlike(text, F.lit(_HIDDEN))
 
 
 def strip_scheduled(text: Column) -> Column:
-    opened = F.startswith(text, F.lit(C.SCHEDULED_OPENING))
-    return F.when(opened, trim_space(F.regexp_replace(text, C.SCHEDULED_PATTERN, ""))).otherwise(text)
+    """A trimmed text without the preamble of a scheduled task."""
+    return F.regexp_replace(text, _SCHEDULED, "")
+
+
+def strip_attachments(text: Column) -> Column:
+    """A trimmed text without the attachment inventory before its request."""
+    return F.regexp_replace(text, _ATTACHMENTS, "")
 
 
 def after_first(text: Column, markers: list[str], otherwise: Column) -> Column:
@@ -43,12 +59,6 @@ def after_first(text: Column, markers: list[str], otherwise: Column) -> Column:
     return out
 
 
-def strip_attachments(text: Column) -> Column:
-    opened = F.startswith(text, F.lit(C.ATTACHMENT_OPENING))
-    held = reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in C.ATTACHMENT_MARKERS])
-    return F.when(opened & held, trim_space(after_first(text, C.ATTACHMENT_MARKERS, text))).otherwise(text)
-
-
 def normalized_turn(role: Column, text: Column) -> Column:
     """The stable visible text of a turn; null if the row takes no part in comparisons."""
     base = trim_space(F.coalesce(text, F.lit("")))
