@@ -59,7 +59,7 @@ def dedupe_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 def commit_stream(settles: DataFrame, checkpoint: str, commit: Callable[[DataFrame, int], None]):
     """Start ``commit`` on each micro-batch; ``commit`` must be idempotent by (path, hash)."""
-    return settles.writeStream.option("checkpointLocation", checkpoint).outputMode("append").foreachBatch(commit)
+    return settles.writeStream.option("checkpointLocation", checkpoint).outputMode("append").foreachBatch(commit).start()
 
 
 def quarantines(results: DataFrame, threshold: int = FAILURES, window_s: int = FAILURE_WINDOW_S) -> DataFrame:
