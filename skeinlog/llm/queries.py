@@ -112,6 +112,16 @@ SELECT *, (failures & 3) <> 0 AS base_failed, (failures & 127) = 0 AS kept, 2::I
 """
 
 
+#: The pages' articles by tags alone: what template deduction must come to where a page marks its article.
+_OP8 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?(?:p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, url, regexp_replace(replace(replace(regexp_replace(t, '&quot;?', '"', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS t FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM d
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage."""
     found = (op1_progressive_jpeg, op2_best_fit_packing, op3_site_spread, op4_hamming_tree, op5_context_trees, op6_quality_ledger, op7_token_counts, op8_template_slots, op9_bpe_round_trip, op10_temperature_mix)
@@ -124,4 +134,4 @@ def oracle_sql() -> dict[str, str]:
     """SQL twins of those queries that SQL can express."""
     from corpus_pipeline import ORACLE_SQL
 
-    return {"op3_site_spread": _OP3, "op6_quality_ledger": _OP6} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
+    return {"op3_site_spread": _OP3, "op6_quality_ledger": _OP6, "op8_template_slots": _OP8} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
