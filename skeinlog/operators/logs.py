@@ -269,3 +269,17 @@ def replay_content(log: DataFrame) -> DataFrame:
     part = log.where(F.col("type").isin(C.PAYLOAD_TYPES) | ((F.col("type") == "snapshot") & has_payload(F.col("payload"))) | (F.col("type") == "redaction")).join(good, "artifact_id", "left_semi")
     newest = part.groupBy("artifact_id").agg(F.max_by(F.struct("type", "payload"), "seq").alias("e"))
     return newest.select("artifact_id", F.when(F.col("e.type") == "redaction", "").otherwise(F.get_json_object("e.payload", "$.content")).alias("content"))
+
+
+def branch_replay(events: DataFrame) -> DataFrame:
+    """Branches of a conversation by its inner events: parent, fork point and whether a merge took the branch in.
+
+    ``events``: ``artifact_id, pos, branch_id, source_branch_id, source_event_id, merged_branch_ids``.
+    The order of the rows has no meaning.
+    """
+    branch = F.coalesce("branch_id", F.lit(C.MAIN))
+    own = events.groupBy("artifact_id", branch.alias("branch")).agg(
+        F.min_by("source_branch_id", "pos").alias("parent"), F.min_by("source_event_id", "pos").alias("fork_point"), F.count("*").alias("n_events")
+    )
+    merged = events.select("artifact_id", F.explode("merged_branch_ids").alias("branch")).distinct().withColumn("merged", F.lit(True))
+    return own.join(merged, ["artifact_id", "branch"], "left").withColumn("merged", F.coalesce("merged", F.lit(False)))
