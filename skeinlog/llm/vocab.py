@@ -7,6 +7,7 @@ everywhere: the files are installed on every machine and are never copied.
 from __future__ import annotations
 
 import functools
+import gc
 import json
 from dataclasses import dataclass
 
@@ -85,7 +86,20 @@ class WordCoder:
         self.marks = list(vocabulary.special)
 
     def lists(self, texts: list[str]) -> list[list]:
-        """For each text the codes of its parts, in order."""
+        """For each text the codes of its parts, in order.
+
+        Nothing here makes reference cycles, so the collector, which would
+        walk the caches again and again, rests meanwhile.
+        """
+        resting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._lists(texts)
+        finally:
+            if resting:
+                gc.enable()
+
+    def _lists(self, texts: list[str]) -> list[list]:
         find, parts, marks = self.find, self.parts, self.marks
         if len(parts) > self.CACHE:
             parts.clear()
