@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinlog.llm.common import whole
+from skeinlog.session import checkpointed
 
 SPACES = " \t\n\x0b\f\r"
 
@@ -35,6 +36,17 @@ def lines(df: DataFrame, text: str = "text", doc: str = "doc_id", site: str = "s
     return got.where(F.size(words) >= min_words).select("__doc", "__th", "__site", "__pos", line_key(F.col("__line")).alias("__key"))
 
 
+#: Keys, or documents with their positions, up to this many are broadcast (about 100 bytes each); more are joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def _small(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """``df`` cut from its lineage, and marked for broadcast if its rows (or their summed weights) are few."""
+    held = checkpointed(df)
+    size = held.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
+    return F.broadcast(held) if size <= BROADCAST_ROWS else held
+
+
 def spread(found: DataFrame, threshold: int, lg_k: int = 12) -> DataFrame:
     """Keys on ``threshold`` sites or more with ``n_sites`` and the first place of the line.
 
@@ -47,7 +59,8 @@ def spread(found: DataFrame, threshold: int, lg_k: int = 12) -> DataFrame:
     summed = found.groupBy("__key").agg(F.hll_sketch_agg(site, F.lit(lg_k)).alias("__sketch"), F.min(place).alias("__first"))
     estimated = summed.select("__key", "__first", F.hll_sketch_estimate("__sketch").alias("__est"))
     width = max(1.5, 4 * 1.04 / 2 ** (lg_k / 2) * threshold)
-    high = estimated.where(F.col("__est") >= threshold - width)
+    # few lines reach the threshold: what follows meets the lines again only through them
+    high = _small(estimated.where(F.col("__est") >= threshold - width))
     near = high.where(F.col("__est") <= threshold + width)
     exact = (
         found.join(near.select("__key"), "__key", "left_semi")
@@ -64,7 +77,7 @@ def spread(found: DataFrame, threshold: int, lg_k: int = 12) -> DataFrame:
 def removals(df: DataFrame, threshold: int, text: str = "text", doc: str = "doc_id", site: str = "source", min_words: int = 3) -> DataFrame:
     """For each row key the positions that go, in order; rows that keep all their lines are absent."""
     found = lines(df, text, doc, site, min_words)
-    spread_lines = spread(found, threshold)
+    spread_lines = _small(spread(found, threshold))
     place = F.struct("__doc", "__th", "__pos")
     gone = found.join(spread_lines.select("__key", "__first"), "__key").where(~place.eqNullSafe(F.col("__first")))
     return gone.groupBy("__doc", "__th").agg(F.array_sort(F.collect_set("__pos")).alias("__gone"))
@@ -77,7 +90,7 @@ def without_boilerplate(df: DataFrame, threshold: int = 10, text: str = "text",
     lines stay.  Equal rows (same id and text) are one document here: all keep
     or lose the same places.  An empty table gives an empty one.
     """
-    gone = removals(df, threshold, text, doc, site, min_words).withColumnsRenamed({"__doc": "__gdoc", "__th": "__gth"})
+    gone = _small(removals(df, threshold, text, doc, site, min_words), 1 + F.size("__gone") / 8).withColumnsRenamed({"__doc": "__gdoc", "__th": "__gth"})
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *row_key(df, text, doc), F.col(f"`{text}`").cast("string").alias("__text"))
     joined = rows.join(gone, rows["__doc"].eqNullSafe(gone["__gdoc"]) & (rows["__th"] == gone["__gth"]), "left")
     split = F.split(F.col("__text"), "\n")
