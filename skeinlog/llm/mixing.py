@@ -90,14 +90,28 @@ def word_tokens(text: str = "text") -> Column:
 BROADCAST_SOURCES = 50_000
 
 
-def plan(sized: DataFrame, mix: Mix) -> DataFrame:
-    """One row a source: ``tokens``, ``exponent``, ``weight``, ``budget``; only totals by source reach the driver."""
+#: Blocks and epochs up to this many are broadcast (under 100 bytes each); more are joined by shuffle.
+BROADCAST_BLOCKS = 100_000
+
+
+@dataclass(frozen=True)
+class Plan:
+    """``table``: one row a source with ``tokens``, ``exponent``, ``weight`` and ``budget``; the bounds that broadcasts are checked by."""
+
+    table: DataFrame
+    sources: int
+    draws: int  # blocks times epochs, at most
+
+
+def plan(sized: DataFrame, mix: Mix) -> Plan:
+    """Solve the mix; only totals by source reach the driver."""
     spark = sized.sparkSession
     totals = sized.groupBy("__source").agg(F.sum("__tokens").alias("t")).orderBy("__source").collect()
     exponent, w, budgets = solve([r.t for r in totals], mix)
     rows = [(r["__source"], r.t, exponent, x, b) for r, x, b in zip(totals, w, budgets, strict=True)]
     planned = spark.createDataFrame(rows, "`__source` string, tokens long, exponent double, weight double, budget long")
-    return F.broadcast(planned) if len(rows) <= BROADCAST_SOURCES else planned
+    drawn = sum(max(1, -(-t // mix.block_tokens)) * -(-b // max(1, t)) for _, t, _, _, b in rows)
+    return Plan(F.broadcast(planned) if len(rows) <= BROADCAST_SOURCES else planned, len(rows), drawn)
 
 
 def sized_rows(df: DataFrame, carried: list[str], text: str, doc: str, source: str, seed: int) -> DataFrame:
@@ -110,7 +124,7 @@ def sized_rows(df: DataFrame, carried: list[str], text: str, doc: str, source: s
     )
 
 
-def draws(rows: DataFrame, planned: DataFrame, mix: Mix) -> DataFrame:
+def draws(rows: DataFrame, planned: Plan, mix: Mix) -> DataFrame:
     """Each drawn row of ``sized_rows`` with its epoch, block, the block's rank in the epoch, and an order key within it.
 
     A row's block comes from its hash, so a source of any size is spread over
@@ -121,7 +135,7 @@ def draws(rows: DataFrame, planned: DataFrame, mix: Mix) -> DataFrame:
     one source or the rows of one block, never the rows of a source.
     """
     blocks_of = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("tokens") / F.lit(mix.block_tokens))).cast("long")
-    sized = rows.join(planned.select("__source", "tokens", "budget", blocks_of.alias("__n")), "__source")
+    sized = rows.join(planned.table.select("__source", "tokens", "budget", blocks_of.alias("__n")), "__source")
     dealt = sized.withColumn("__block", F.pmod(F.xxhash64(F.col("__h"), F.lit(1)), F.col("__n")))
     blocks = dealt.groupBy("__source", "__block").agg(F.sum("__tokens").alias("__btokens"), F.first("budget").alias("budget"), F.first("tokens").alias("tokens"))
     last = F.when(F.col("budget") > 0, F.floor((F.col("budget") - 1) / F.col("tokens"))).otherwise(F.lit(-1)).cast("long")
@@ -134,10 +148,13 @@ def draws(rows: DataFrame, planned: DataFrame, mix: Mix) -> DataFrame:
     fits = F.col("__from") + F.col("__btokens") <= F.col("__budget")
     # blocks that fit are taken as a whole, once an epoch; the one block of a source that crosses the budget is cut
     times = started.where(fits).groupBy("__source", "__block").agg(F.collect_list(F.struct("__epoch", "__rank")).alias("__times"))
+    cut = started.where(~fits).select("__source", "__block", "__epoch", "__rank", "__from", "__budget")
+    if planned.draws <= BROADCAST_BLOCKS:
+        times, cut = F.broadcast(times), F.broadcast(cut)
     out = ["__row", "__source", "__block", "__tokens", "__epoch", "__rank", F.xxhash64("__h", "__epoch").alias("__order")]
     full = dealt.join(times, ["__source", "__block"]).select("*", F.inline("__times")).select(*out)
     within = Window.partitionBy("__source", "__block", "__epoch").orderBy(F.xxhash64("__h", "__epoch"), "__h").rowsBetween(Window.unboundedPreceding, -1)
-    crossed = dealt.join(started.where(~fits).select("__source", "__block", "__epoch", "__rank", "__from", "__budget"), ["__source", "__block"])
+    crossed = dealt.join(cut, ["__source", "__block"])
     part = crossed.withColumn("__at", F.col("__from") + F.coalesce(F.sum("__tokens").over(within), F.lit(0))).where("__at < __budget").select(*out)
     return full.unionByName(part)
 
@@ -157,7 +174,7 @@ def schedule(df: DataFrame, mix: Mix, text: str = "text", doc: str = "doc_id", s
     """One row per drawn document and epoch; sorting by ``epoch``, ``block_rank``, ``order_key`` replays a source."""
     rows = sized_rows(df, [doc], text, doc, source, mix.seed)
     planned = plan(rows, mix)
-    return draws(rows, planned, mix).join(planned.select("__source", "weight", "exponent"), "__source").select(
+    return draws(rows, planned, mix).join(planned.table.select("__source", "weight", "exponent"), "__source").select(
         F.col("__row").getField(doc).alias(doc),
         F.when(F.col("__source") != NONE, F.col("__source")).alias("source"),
         F.col("__epoch").alias("epoch"),
