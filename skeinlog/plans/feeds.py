@@ -10,23 +10,26 @@ from skeinlog.operators import logs as L
 from skeinlog.plans.model import conv_events, log_events
 from skeinlog.plans.registry import query
 
-_ORDER = F.struct("ts", "event_id")
+def _order():
+    return F.struct("ts", "event_id")
+
+
 _COLUMNS = "user_id AS artifact_id, event_id, ts, event_type AS type, value, props AS payload"
 
 
 @query("first_event", f"SELECT {_COLUMNS} FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
 def first_event(spark, sf_dir):
-    return L.first_event(log_events(spark, sf_dir), _ORDER)
+    return L.first_event(log_events(spark, sf_dir), _order())
 
 
 @query("latest_event", f"SELECT {_COLUMNS} FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def latest_event(spark, sf_dir):
-    return L.last_event(log_events(spark, sf_dir), _ORDER)
+    return L.last_event(log_events(spark, sf_dir), _order())
 
 
 @query("latest_event_by_type", f"SELECT {_COLUMNS} FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def latest_event_by_type(spark, sf_dir):
-    return L.last_event(log_events(spark, sf_dir), _ORDER, "type")
+    return L.last_event(log_events(spark, sf_dir), _order(), "type")
 
 
 @query("recent_events_n", f"SELECT {_COLUMNS} FROM events WHERE event_type IN ('click', 'purchase') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
