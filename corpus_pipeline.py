@@ -6,7 +6,7 @@ the last return the columns of documents.
 
 1. quality rules: documents that the second policy rejects go;
 2. line dedup: boilerplate lines of ten sources or more keep one place;
-3. near duplicates: one document of each group of SimHash neighbours stays;
+3. near duplicates: one document of each group linked by 0.8 or more of its 5-word shingles stays;
 4. mixing: small sources are repeated towards even weights, none more than one
    and a half times, and every document is drawn at least once;
 5. encoding: token ids of every drawn document and their decoding, as digests.
@@ -17,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlog.llm.hamming_tree import one_of_each
 from skeinlog.llm.heap_bpe import round_trip
 from skeinlog.llm.mixing import Mix, mixed
 from skeinlog.llm.quality_ledger import POLICIES, keep_good
 from skeinlog.llm.queries import SPREAD_SITES, vocabulary_path
+from skeinlog.llm.shingle_links import one_of_each
 from skeinlog.llm.site_spread import drop_boilerplate
 from skeinlog.session import removed, shared_folder, written
 
@@ -52,7 +52,7 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup),
-    ("SimHash near-dedup", near_duplicates),
+    ("near duplicates", near_duplicates),
     ("mixing sources", source_mixing),
     ("BPE encoding and decoding", bpe_encoding),
 ]

@@ -305,7 +305,11 @@ def one_of_each(df: DataFrame, text: str = "text", doc: str = "doc_id", radius:
 
     Rows without an id stay.  Rows that share an id (repeated rows) stay as one.
     """
-    found = components(df, text, doc, radius)
+    return first_of_each(df, components(df, text, doc, radius), doc)
+
+
+def first_of_each(df: DataFrame, found: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose id is their component's in ``found`` (``doc``, ``component_id``)."""
     per_id = checkpointed(found.groupBy(F.col(f"`{doc}`").alias("__id")).agg(F.count("*").alias("n"), F.min("component_id").alias("low")).where("__id is not null and (n > 1 or low < __id)"))
     sizes = per_id.agg(F.count_if(F.expr("low < __id")).alias("gone"), F.count_if(F.expr("n > 1")).alias("twice")).first()
     gone = per_id.where("low < __id").select(F.col("__id").alias("__gone"))
