@@ -11,7 +11,9 @@ template's skeleton and the others nest into its slots.  Text that belongs to th
 template is furniture; what remains stands in slots.  A slot is main text unless
 its element's role says otherwise (menus, page headers, footers, sidebars,
 notices, adverts, forms, scripts, reader comments); where a page marks an article
-only the slots in it count.  Text within an article is never taken for furniture.
+only the slots in it count.  Text within an article is furniture too if the
+template holds it, by three pages or more; but template text that makes up half of
+its article or more is a copied article, not furniture, and stays.
 Hosts with fewer than three pages have no template and are read by roles alone.
 """
 
@@ -128,22 +130,23 @@ def read_page(page: str) -> Iterator[tuple]:
             stack.append((name, path, apart, inside))
 
 
-def page_tokens(page: str) -> list[tuple[int, int, int, int]]:
-    """(token, how often, first place, parent) of a page's tokens outside articles, and of all its tags."""
+def page_tokens(page: str) -> list[tuple[int, int, int, int, bool]]:
+    """(token, how often, first place, parent, whether it is text within an article) of a page's tokens."""
     count: Counter = Counter()
     first: dict = {}
     for place, event in enumerate(read_page(page)):
         if event[0] == "tag":
-            token = event[1]
+            token, inside = event[1], False
             if token is None:
                 continue
         else:
             text = " ".join(event[3].split())
-            if not text or event[5]:
+            if not text:
                 continue
+            inside = event[5]
             token = _token(str(event[2]), "#text", text)
         count[token] += 1
-        first.setdefault(token, (place, event[2]))
+        first.setdefault(token, (place, event[2], inside))
     return [(t, n, *first[t]) for t, n in count.items()]
 
 
@@ -153,7 +156,7 @@ def host_of(column):
 
 
 def token_counts_by_page(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
-    """``host``, ``page``, ``token``, ``n``, ``pos``, ``parent``; token 0 stands for the page itself."""
+    """``host``, ``page``, ``token``, ``n``, ``pos``, ``parent``, ``inside``; token 0 stands for the page itself."""
     kept = pages.select(host_of(F.col(f"`{url}`").cast("string")).alias("host"), F.xxhash64(F.col(f"`{page_id}`"), F.col(f"`{url}`"), F.col(f"`{html}`")).alias("page"), F.col(f"`{html}`").cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,20 +165,20 @@ def token_counts_by_page(pages: DataFrame, page_id: str, url: str, html: str) ->
                 part = batch.slice(i, 512)
                 rows = []
                 for host, page, text in zip(*[c.to_pylist() for c in part.columns], strict=True):
-                    rows.append((host, page, 0, 1, 0, 0))
-                    rows.extend((host, page, t, n, p, q) for t, n, p, q in page_tokens(text or ""))
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=["host", "page", "token", "n", "pos", "parent"])
+                    rows.append((host, page, 0, 1, 0, 0, False))
+                    rows.extend((host, page, *t) for t in page_tokens(text or ""))
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:6]], pa.array(columns[6], pa.bool_())], names=["host", "page", "token", "n", "pos", "parent", "inside"])
 
-    return kept.mapInArrow(run, "host string, page long, token long, n long, pos long, parent long")
+    return kept.mapInArrow(run, "host string, page long, token long, n long, pos long, parent long, inside boolean")
 
 
 def classes(counted: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """``host``, ``n_pages``, ``support``, ``members``: valid equivalence classes, members in page order."""
     vectors = counted.groupBy("host", "token").agg(
-        F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.avg("pos").alias("pos"), F.min("parent").alias("parent"), F.sum("n").alias("total")
+        F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.avg("pos").alias("pos"), F.min("parent").alias("parent"), F.sum("n").alias("total"), F.bool_or("inside").alias("inside")
     )
-    many = vectors.where(f"token <> 0 and support >= {(min_pages + 1) // 2}")
+    many = vectors.where(f"token <> 0 and support >= if(inside, {min_pages}, {(min_pages + 1) // 2})")
     sizes = vectors.where(f"token = 0 and support >= {min_pages}").select("host", F.col("support").alias("n_pages"))
     frequent = many.join(sizes, "host").where("2 * support >= n_pages")
     grouped = frequent.groupBy("host", "n_pages", "support", "vector", "total").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "parent"))).alias("members"))
@@ -227,19 +230,25 @@ def main_text(page: str, template: frozenset = frozenset()) -> str:
     """Text of a page's content slots."""
     events = list(read_page(page))
     has_article = any(e[0] == "tag" and e[4] and e[6] and not e[5] and e[3] in ("article", "main") for e in events)
+    furniture: set[int] = set()
+    if template:
+        spoken = [(k, " ".join(e[3].split())) for k, e in enumerate(events) if e[0] == "text" and not e[4] and (e[5] or not has_article)]
+        furniture = {k for k, text in spoken if text and _token(str(events[k][2]), "#text", text) in template}
+        # template text of half an article or more is the article of pages that copy each other
+        inside = [(k, len(text)) for k, text in spoken if events[k][5]]
+        if 2 * sum(n for k, n in inside if k in furniture) >= sum(n for _, n in inside):
+            furniture.difference_update(k for k, _ in inside)
     blocks: list[str] = []
     open_: list[str] = []
-    for e in events:
+    for k, e in enumerate(events):
         if e[0] == "tag":
             # a block's border, or a template token's: the slot ends here
             if e[3] in _BLOCK or (e[1] in template and e[3] in ("script", "style", "head", "title")):
                 blocks.append("".join(open_))
                 open_ = []
             continue
-        _, _, parent, raw, aside, article = e
-        if aside or (has_article and not article):
-            continue
-        if template and not article and not raw.isspace() and _token(str(parent), "#text", " ".join(raw.split())) in template:
+        _, _, _, raw, aside, article = e
+        if aside or (has_article and not article) or k in furniture:
             continue
         open_.append(raw)
     blocks.append("".join(open_))
