@@ -644,25 +644,27 @@ def encode_media(df: DataFrame, column: str, keys: list[str] | None = None) -> D
 
 
 def decode_media(df: DataFrame, column: str = "media", keys: list[str] | None = None) -> DataFrame:
-    """``keys``, ``height``, ``width`` and ``rgb`` (row-major bytes) of the first image in a binary column.
+    """``keys``, ``frame`` (from 0), ``height``, ``width`` and ``rgb`` (row-major bytes) of every image in a binary column.
 
-    A null value, or bytes that are no progressive JPEG, give nulls.
+    Long payloads are stored as several frames; each gives a row.  A null
+    value, or bytes that are no progressive JPEG, give one row of nulls.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for held in batch.column(batch.num_columns - 1).to_pylist():
+            for at, held in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 try:
-                    image = parse(held or b"")[0]
-                    decode([image])
-                    tensor = to_rgb(image)
-                    rows.append((*tensor.shape[:2], tensor.tobytes()))
+                    images = parse(held or b"")
+                    decode(images)
+                    tensors = [to_rgb(im) for im in images]
+                    rows = [(k, *t.shape[:2], t.tobytes()) for k, t in enumerate(tensors)]
                 except (ValueError, IndexError):
-                    rows.append((None, None, None))
-            more = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*batch.schema.names[:-1], "height", "width", "rgb"])
+                    rows = []
+                rows = rows or [(None, None, None, None)]
+                keys_of = batch.slice(at, 1).take(pa.array([0] * len(rows)))
+                more = [pa.array([r[i] for r in rows], pa.binary() if i == 3 else pa.int32()) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([*keys_of.columns[:-1], *more], names=[*batch.schema.names[:-1], "frame", "height", "width", "rgb"])
 
     kept = df.select(*[F.col(f"`{k}`") for k in keys or ["doc_id"]], F.col(f"`{column}`").alias("__bytes"))
     schema = kept.drop("__bytes").schema
-    return kept.mapInArrow(work, schema.add("height", "integer").add("width", "integer").add("rgb", "binary"))
+    return kept.mapInArrow(work, schema.add("frame", "integer").add("height", "integer").add("width", "integer").add("rgb", "binary"))
