@@ -71,6 +71,12 @@ def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(documents(spark, sf_dir), POLICIES[2])
 
 
+def op6_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skeinlog.llm.quality_ledger import POLICIES, ablation, ledger
+
+    return ablation(ledger(documents(spark, sf_dir)), POLICIES[2])
+
+
 def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skeinlog.llm.mixing import Mix, schedule
 
@@ -124,7 +130,7 @@ SELECT page_id, url, text, length(text) AS n_chars FROM d
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage."""
-    found = (op1_progressive_jpeg, op2_best_fit_packing, op3_site_spread, op4_hamming_tree, op5_context_trees, op6_quality_ledger, op7_token_counts, op8_template_slots, op9_bpe_round_trip, op10_temperature_mix)
+    found = (op1_progressive_jpeg, op2_best_fit_packing, op3_site_spread, op4_hamming_tree, op5_context_trees, op6_quality_ledger, op6_rule_ablation, op7_token_counts, op8_template_slots, op9_bpe_round_trip, op10_temperature_mix)
     from corpus_pipeline import run
 
     return {f.__name__: f for f in found} | {"pipeline": run}
