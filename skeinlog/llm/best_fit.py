@@ -125,7 +125,7 @@ def packed(
     tokens on, each segment holds; ``cu_seqlens`` are the cumulative segment
     lengths; at ``position_resets`` positions start at 0 again.  A piece of a
     cut document starts at position 0 too.  Null and empty texts have no tokens
-    and take no segment.  Repeated rows are packed as often as they stand there;
+    and take no segment.  An id that ``dtype`` can't hold is an error.  Repeated rows are packed as often as they stand there;
     an empty table gives an empty one; other columns are not read.
     """
     kept = df.select(F.col(f"`{doc}`").alias("__doc"), F.col(f"`{text}`").cast("string").alias("__text"))
@@ -134,6 +134,10 @@ def packed(
 
     arrow = to_arrow_schema(schema)
 
+    top = np.iinfo(np.dtype(dtype)).max
+    if pad_id > top:
+        raise ValueError(f"{dtype} holds no pad id {pad_id}")
+
     def emit(docs: list) -> Iterator[pa.RecordBatch]:
         rows = list(pack_block(docs, capacity))
         for at in range(0, len(rows), 1024):
@@ -148,6 +152,8 @@ def packed(
         for ids, texts in steps(batches, 1):
             for i, coded in zip(ids, encode([t or "" for t in texts]), strict=True):
                 if len(coded):
+                    if coded.max() > top:
+                        raise ValueError(f"{dtype} holds no id {coded.max()}; give a wider type")
                     waiting.append((i, coded))
                     tokens += len(coded)
             if tokens >= block_tokens:
