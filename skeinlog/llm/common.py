@@ -5,27 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Bytes of text that one step of an Arrow map holds; a longer text makes a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
+
+
+def cuts(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose values in ``column`` hold about ``limit`` bytes together."""
+    start = size = 0
+    for i, n in enumerate(pc.binary_length(column).to_pylist()):
+        size += n or 0
+        if size >= limit:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(column):
+        yield start, len(column)
 
 
 def steps(batches: Iterator[pa.RecordBatch], text: int, limit: int = STEP_BYTES) -> Iterator[list[list]]:
-    """Rows of Arrow batches as column lists, cut so that the column at index ``text`` holds about ``limit`` bytes."""
+    """Rows of Arrow batches as column lists, cut so that the column at index ``text`` holds about ``limit`` bytes.
+
+    Only a step's rows become Python objects at a time.
+    """
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        start = size = 0
-        for i, value in enumerate(columns[text]):
-            size += len(value) if value is not None else 0
-            if size >= limit:
-                yield [c[start : i + 1] for c in columns]
-                start, size = i + 1, 0
-        if start < batch.num_rows:
-            yield [c[start:] for c in columns]
+        for a, b in cuts(batch.column(text), limit):
+            yield [c.slice(a, b - a).to_pylist() for c in batch.columns]
 
 
 def map_text(

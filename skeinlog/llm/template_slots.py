@@ -38,11 +38,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinlog.llm.common import cuts
+
 MIN_PAGES = 3
 #: Template tokens up to this many are sent to every worker (8 bytes each); more are joined by shuffle.
 BROADCAST_TOKENS = 1_000_000
@@ -210,19 +211,8 @@ def host_of(column):
 
 
 _COUNTED = ["token", "n", "pos", "path", "parent", "kind", "chars"]
-#: Characters of pages that are turned into tokens at a time; a longer page makes a step of its own.
-STEP_CHARS = 2 << 20
-
-
-def _page_steps(column: pa.Array) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, n in enumerate(pc.utf8_length(column).to_pylist()):
-        size += n or 0
-        if size >= STEP_CHARS:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(column):
-        yield start, len(column)
+#: Bytes of pages that are read at a time; a longer page makes a step of its own.
+STEP_BYTES = 2 << 20
 
 
 def token_counts_by_page(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
@@ -231,7 +221,7 @@ def token_counts_by_page(pages: DataFrame, page_id: str, url: str, html: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in _page_steps(batch.column(2)):
+            for a, b in cuts(batch.column(2), STEP_BYTES):
                 part = batch.slice(a, b - a)
                 rows = [(host, page, *t) for host, page, text in zip(*[c.to_pylist() for c in part.columns], strict=True) for t in page_tokens(text or "")]
                 columns = list(zip(*rows, strict=True))
@@ -414,7 +404,7 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
         seen: dict = {}
         for batch in batches:
             hosts = batch.column(3).to_pylist()
-            for a, b in _page_steps(batch.column(2)):
+            for a, b in cuts(batch.column(2), STEP_BYTES):
                 texts = []
                 for i, page in enumerate(batch.column(2).slice(a, b - a).to_pylist(), a):
                     host = hosts[i]

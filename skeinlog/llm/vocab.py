@@ -75,13 +75,16 @@ class WordCoder:
     codes go together.
     """
 
-    #: Parts and pre-tokens kept at most; beyond that the cache starts afresh.
-    CACHE = 400_000
+    #: Bytes of parts, pre-tokens and codes that stay between calls, about; beyond that the cache starts afresh.
+    CACHE_BYTES = 16 << 20
+    #: Bytes that an entry takes besides its characters and code, about.
+    ENTRY_BYTES = 250
 
     def __init__(self, vocabulary: Vocabulary, encode, zero):
         self.vocabulary, self.encode, self.zero = vocabulary, encode, zero
         self.parts: dict = {}
         self.pieces: dict = {}
+        self.held = 0
         self.find = regex.compile(PATTERN).findall
         self.marks = list(vocabulary.special)
 
@@ -96,15 +99,21 @@ class WordCoder:
         try:
             return self._lists(texts)
         finally:
+            if self.held > self.CACHE_BYTES:
+                self.clear()
             if resting:
                 gc.enable()
 
+    def clear(self) -> None:
+        """Forget all parts."""
+        self.parts, self.pieces, self.held = {}, {}, 0
+
+    def _size(self, entries: dict) -> int:
+        chars = sum(map(len, entries))
+        return self.ENTRY_BYTES * len(entries) + 2 * chars + (4 * chars if type(self.zero) is bytes else 0)
+
     def _lists(self, texts: list[str]) -> list[list]:
         find, parts, marks = self.find, self.parts, self.marks
-        if len(parts) > self.CACHE:
-            parts.clear()
-        if len(self.pieces) > self.CACHE:
-            self.pieces.clear()
         # a text's first word stands without a space before it, so its key in the cache is marked
         split, slow = [], []
         for k, text in enumerate(texts):
@@ -141,7 +150,10 @@ class WordCoder:
         need = [p for p in need if p not in self.pieces]
         for at in range(0, len(need), 50_000):
             some = need[at : at + 50_000]
-            self.pieces.update(zip(some, self.encode(some), strict=True))
+            made = dict(zip(some, self.encode(some), strict=True))
+            self.held += self._size(made)
+            self.pieces.update(made)
+        self.held += self._size(cut)
         pieces, zero = self.pieces, self.zero
         for w, ps in cut.items():
             parts[w] = pieces[ps[0]] if len(ps) == 1 else self.add([pieces[p] for p in ps], zero)
