@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinlog.llm.common import map_text
-from skeinlog.llm.hamming_tree import contracted, first_of_each
+from skeinlog.llm.hamming_tree import contracted, first_of_each, keyed, smallest
 from skeinlog.session import checkpointed
 
 WIDTH = 5
