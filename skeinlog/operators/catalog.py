@@ -64,14 +64,14 @@ def tag_list(artifacts: DataFrame) -> DataFrame:
     return artifacts.select(F.explode("tags").alias("tag")).distinct()
 
 
-def resolved_scopes(paths: DataFrame, projects: DataFrame, max_depth: int = 64) -> DataFrame:
+def resolved_scopes(paths: DataFrame, projects: DataFrame) -> DataFrame:
     """``path, project_id, scope`` by the longest registered root that is a path or one of its parents.
 
-    Every path is expanded to its own parents (at most ``max_depth``) and joined
-    by equality, so no inequality join is needed however many roots there are.
+    Every path is expanded to its own parents and joined by equality, so no
+    inequality join is needed however many roots there are.
     """
     parts = F.split(F.regexp_replace("path", "/+$", ""), "/")
-    parents = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(max_depth))), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("root")))
+    parents = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("root")))
     tried = paths.select("path", F.inline(parents))
     roots = projects.select(F.regexp_replace("root", "/+$", "").alias("root"), "project_id", F.col("scope").alias("__scope"))
     best = tried.join(roots, "root").groupBy("path").agg(F.max_by(F.struct("project_id", "__scope"), "n").alias("p"))
@@ -96,9 +96,9 @@ def unregistered(folders: DataFrame, registered: DataFrame) -> DataFrame:
 
 
 def suggestions(folders: DataFrame, registry: DataFrame) -> DataFrame:
-    """Folders with the registry's name by project id, else by path."""
-    by_id = registry.select(F.col("project_id").alias("__id"), F.col("name").alias("__n1"))
-    by_path = registry.select(F.lower("path").alias("__path"), F.col("name").alias("__n2"))
+    """Folders with the registry's name by project id, else by path, letter case aside; of several names the first in order."""
+    by_id = registry.where("project_id is not null").groupBy(F.col("project_id").alias("__id")).agg(F.min("name").alias("__n1"))
+    by_path = registry.where("path is not null").groupBy(F.lower("path").alias("__path")).agg(F.min("name").alias("__n2"))
     return folders.join(by_id, F.col("project_id") == F.col("__id"), "left").join(by_path, F.lower("path") == F.col("__path"), "left").withColumn("name", F.coalesce("__n1", "__n2")).drop("__id", "__n1", "__path", "__n2")
 
 

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from skeinlog.functions import constants as C
 from skeinlog.functions.text import display_path, has_payload
+from skeinlog.operators.paths import above
 from skeinlog.session import checkpointed
 
 
@@ -153,77 +155,108 @@ def listed_branches(rollup: DataFrame) -> DataFrame:
     return rollup.withColumn("place", F.row_number().over(w))
 
 
-def project_branches(log: DataFrame, max_depth: int = 64) -> tuple[DataFrame, DataFrame]:
+_SEGMENT = "array<struct<owner:string,upto:bigint,before:bigint>>"
+
+
+def _resolved(rows: list[dict]) -> list[tuple]:
+    """(branch, error, segments) of one log's branches.
+
+    A segment is the first ``upto`` own events of a branch (null: all of them), after
+    ``before`` events of the segments above.  A fork takes its source's segments up to
+    its fork point and adds its own.  Sources come first, however deep branches nest;
+    what no source leads to is malformed.
+    """
+    made: dict[str, list[tuple]] = {}
+    out, forks = [], {}
+    ready = []
+    for r in rows:
+        if r["k"] == "alone":
+            made[r["b"]] = [(r["b"], None, 0)]
+            ready.append(r["b"])
+        elif r["k"] == "fork":
+            forks.setdefault(r["src"], []).append(r)
+        else:
+            out.append((r["b"], "malformed", None))
+    size = {r["b"]: r["n"] for r in rows}
+    barred = {r["b"]: r["redactions"] or [] for r in rows}
+    while ready:
+        source = ready.pop()
+        for r in forks.pop(source, []):
+            spots: dict[str, int] = {}
+            for c in r["points"] or []:
+                spots[c["owner"]] = min(c["rank"], spots.get(c["owner"], c["rank"]))
+            above = made[source]
+            for i, (owner, upto, before) in enumerate(above):
+                rank = spots.get(owner)
+                if rank is not None and (upto is None or rank <= upto):
+                    break
+            else:
+                out.append((r["b"], "fork point missing", None))
+                continue
+            later = [(rank, above[i]), *((0, x) for x in above[i + 1 :])]
+            if any(start < x <= (size[o] if to is None else to) for start, (o, to, _) in later for x in barred.get(o, [])):
+                out.append((r["b"], "redaction barrier", None))
+                continue
+            made[r["b"]] = [*above[:i], (owner, rank, before), (r["b"], None, before + rank)]
+            ready.append(r["b"])
+    out += [(r["b"], "malformed", None) for rest in forks.values() for r in rest]
+    return out + [(b, None, segments) for b, segments in made.items()]
+
+
+def project_branches(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(projections, errors) of all branches of all logs.
 
     A projection has ``projected`` (branch), ``place`` and the event's columns.
     Main is its own events; another branch is its source's projection up to the
     fork's parent, then its own events; a recovery baseline stands alone.
-    Branches are built level by level, sources first, so the driver loops as
-    often as branches nest.  Errors: ``malformed`` (no fork first, cycle or
-    missing source), ``fork point missing``, ``redaction barrier``.
+    Errors: ``malformed`` (no fork first, cycle or missing source), ``fork point
+    missing``, ``redaction barrier``.
+
+    What a branch is made of is settled over one narrow row a branch, in a task that
+    holds the branches of a log (not its events).  Events are placed by their rank in
+    their own branch, so they are shuffled once, whatever the branches' depth.
     """
-    own = log.withColumn("__b", _branch())
-    opening = own.groupBy("artifact_id", "__b").agg(F.min_by(F.struct("type", "parent_hash", "fork_source_branch", "aligned_head", "aligned_event_id", "payload"), "seq").alias("o"))
-    root = (F.col("o.type") == "baseline") & (F.coalesce("o.parent_hash", F.lit("")) == "") & (F.coalesce("o.aligned_head", F.lit("")) != "") & (F.coalesce("o.aligned_event_id", F.lit("")) != "") & has_payload(F.col("o.payload"))
-    source = F.when(F.coalesce("o.fork_source_branch", F.lit("")) == "", F.lit(C.MAIN)).otherwise(F.col("o.fork_source_branch"))
-    kinds = checkpointed(
-        opening.select(
-            "artifact_id",
-            "__b",
-            F.when((F.col("__b") == C.MAIN) | root, "alone").when(F.col("o.type") == "fork", "fork").otherwise("malformed").alias("k"),
-            source.alias("src"),
-            F.col("o.parent_hash").alias("cut"),
-        )
+    import pyarrow as pa
+
+    rank = Window.partitionBy("artifact_id", "__b").orderBy("seq")
+    own = log.withColumn("__b", _branch()).withColumn("__rank", F.row_number().over(rank).cast("long"))
+    opening = own.groupBy("artifact_id", "__b").agg(
+        F.min_by(F.struct("type", "parent_hash", "fork_source_branch", "aligned_head", "aligned_event_id", has_payload(F.col("payload")).alias("full")), "seq").alias("o"),
+        F.count("*").alias("n"),
+        F.sort_array(F.collect_list(F.when(F.col("type") == "redaction", F.col("__rank")))).alias("redactions"),
     )
-    columns = log.columns
-    alone = own.join(kinds.where("k = 'alone'").select("artifact_id", "__b"), ["artifact_id", "__b"])
-    by_seq = Window.partitionBy("artifact_id", "projected").orderBy("__part", "__at")
-
-    def placed(df: DataFrame) -> DataFrame:
-        return df.withColumn("place", F.row_number().over(by_seq)).select("projected", "place", *columns)
-
-    level = checkpointed(placed(alone.select(F.col("__b").alias("projected"), F.lit(0).alias("__part"), F.col("seq").alias("__at"), *columns)))
-    done, errors = level, kinds.where("k = 'malformed'").select("artifact_id", F.col("__b").alias("branch"), F.lit("malformed").alias("error"))
-    waiting = kinds.where("k = 'fork'")
-    for _ in range(max_depth):
-        ready = level.select("artifact_id", F.col("projected").alias("src")).distinct().join(waiting, ["artifact_id", "src"])
-        ready = checkpointed(ready)
-        if not ready.take(1):
-            break
-        base = level.withColumnRenamed("projected", "src").join(ready.select("artifact_id", "src", "__b", "cut"), ["artifact_id", "src"])
-        points = base.where("hash = cut").groupBy("artifact_id", "__b").agg(F.min("place").alias("__cut"))
-        barred = base.join(points, ["artifact_id", "__b"]).where("type = 'redaction' and place > __cut").select("artifact_id", "__b").distinct()
-        lost = ready.join(points, ["artifact_id", "__b"], "left_anti")
-        errors = errors.unionByName(lost.select("artifact_id", F.col("__b").alias("branch"), F.lit("fork point missing").alias("error"))).unionByName(barred.select("artifact_id", F.col("__b").alias("branch"), F.lit("redaction barrier").alias("error")))
-        good = points.join(barred, ["artifact_id", "__b"], "left_anti")
-        prefix = base.join(good, ["artifact_id", "__b"]).where("place <= __cut").select(F.col("__b").alias("projected"), F.lit(0).alias("__part"), F.col("place").alias("__at"), *columns)
-        tail = own.join(good.select("artifact_id", "__b"), ["artifact_id", "__b"]).select(F.col("__b").alias("projected"), F.lit(1).alias("__part"), F.col("seq").alias("__at"), *columns)
-        level = checkpointed(placed(prefix.unionByName(tail)))
-        done = done.unionByName(level)
-        waiting = checkpointed(waiting.join(ready.select("artifact_id", "__b"), ["artifact_id", "__b"], "left_anti"))
-    errors = errors.unionByName(waiting.select("artifact_id", F.col("__b").alias("branch"), F.lit("malformed").alias("error")))
-    return done, errors
-
-
-def ancestors(log: DataFrame, tips: DataFrame, max_steps: int = 10_000) -> DataFrame:
+    root = (F.col("o.type") == "baseline") & (F.coalesce("o.parent_hash", F.lit("")) == "") & (F.coalesce("o.aligned_head", F.lit("")) != "") & (F.coalesce("o.aligned_event_id", F.lit("")) != "") & F.col("o.full")
+    source = F.when(F.coalesce("o.fork_source_branch", F.lit("")) == "", F.lit(C.MAIN)).otherwise(F.col("o.fork_source_branch"))
+    kinds = opening.select("artifact_id", F.col("__b").alias("b"), F.when((F.col("__b") == C.MAIN) | root, "alone").when(F.col("o.type") == "fork", "fork").otherwise("malformed").alias("k"), source.alias("src"), F.col("o.parent_hash").alias("cut"), "n", "redactions")
+    spots = own.select(F.col("artifact_id").alias("__a"), F.col("hash").alias("__h"), F.struct(F.col("__b").alias("owner"), F.col("__rank").alias("rank")).alias("spot"))
+    found = kinds.join(spots, (F.col("k") == "fork") & (F.col("artifact_id") == F.col("__a")) & (F.col("cut") == F.col("__h")), "left")
+    rows = found.groupBy("artifact_id", "b").agg(F.first("k").alias("k"), F.first("src").alias("src"), F.first("n").alias("n"), F.first("redactions").alias("redactions"), F.collect_list("spot").alias("points"))
+    segment = pa.list_(pa.struct([("owner", pa.string()), ("upto", pa.int64()), ("before", pa.int64())]))
+
+    def resolve(table: pa.Table) -> pa.Table:
+        made = _resolved(table.to_pylist())
+        key = table.column("artifact_id").combine_chunks()
+        shown = lambda segments: None if segments is None else [dict(zip(("owner", "upto", "before"), s, strict=True)) for s in segments]
+        return pa.table({"artifact_id": key.take(pa.array([0] * len(made))), "branch": pa.array([b for b, _, _ in made], pa.string()), "error": pa.array([e for _, e, _ in made], pa.string()), "segments": pa.array([shown(s) for _, _, s in made], segment)})
+
+    schema = rows.select("artifact_id").schema.add("branch", "string").add("error", "string").add("segments", T._parse_datatype_string(_SEGMENT))
+    settled = checkpointed(rows.groupBy("artifact_id").applyInArrow(resolve, schema))
+    parts = settled.where("error is null").select(F.col("artifact_id").alias("__a"), F.col("branch").alias("projected"), F.inline("segments"))
+    fits = (F.col("artifact_id") == F.col("__a")) & (F.col("__b") == F.col("owner")) & (F.col("upto").isNull() | (F.col("__rank") <= F.col("upto")))
+    done = own.join(parts, fits).select("projected", (F.col("before") + F.col("__rank")).cast("int").alias("place"), *log.columns)
+    return done, settled.where("error is not null").select("artifact_id", "branch", "error")
+
+
+def ancestors(log: DataFrame, tips: DataFrame) -> DataFrame:
     """``artifact_id, hash`` of every event in the ancestry of ``tips`` (``artifact_id, hash``).
 
-    Each round follows one parent from every new hash; parents that the log
-    no longer holds end the walk, and known hashes aren't walked again.
+    Parents that the log no longer holds end the way.  Ways are followed by
+    doubling, so the number of rounds is the logarithm of the longest one.
     """
-    edges = checkpointed(log.select("artifact_id", "hash", "parent_hash"))
-    front = checkpointed(tips.select("artifact_id", "hash").distinct().join(edges, ["artifact_id", "hash"]))
-    seen = front.select("artifact_id", "hash")
-    for step in range(max_steps):
-        up = front.where("coalesce(parent_hash, '') <> ''").select("artifact_id", F.col("parent_hash").alias("hash")).distinct()
-        front = checkpointed(up.join(seen, ["artifact_id", "hash"], "left_anti").join(edges, ["artifact_id", "hash"]))
-        if not front.take(1):
-            break
-        seen = seen.unionByName(front.select("artifact_id", "hash"))
-        if step % 8 == 7:
-            seen = checkpointed(seen)
-    return seen
+    wanted = tips.select("artifact_id").distinct()
+    edges = log.join(wanted, "artifact_id", "left_semi").select("artifact_id", F.col("hash").alias("node"), F.nullif("parent_hash", F.lit("")).alias("parent"))
+    starts = tips.select("artifact_id", F.col("hash").alias("node"))
+    return above(edges, starts, "artifact_id").select("artifact_id", F.col("node").alias("hash")).distinct()
 
 
 # state
@@ -271,6 +304,19 @@ def replay_content(log: DataFrame) -> DataFrame:
     return newest.select("artifact_id", F.when(F.col("e.type") == "redaction", "").otherwise(F.get_json_object("e.payload", "$.content")).alias("content"))
 
 
+def replay_layers(active: DataFrame, compacted: DataFrame) -> DataFrame:
+    """``replay_content`` over the active layer; a log whose chain isn't whole there is tried once more with its compacted events before it.
+
+    ``seq`` counts through both layers.  A log that is whole in neither has no row.
+    """
+    whole = intact(active).where("intact").select("artifact_id")
+    again = active.join(whole, "artifact_id", "left_anti")
+    older = compacted.join(again.select("artifact_id").distinct(), "artifact_id", "left_semi")
+    # an event that was moved but not yet removed stands in both layers
+    both = older.unionByName(again.join(older.select("artifact_id", "hash"), ["artifact_id", "hash"], "left_anti"), allowMissingColumns=True)
+    return replay_content(active.join(whole, "artifact_id", "left_semi")).unionByName(replay_content(both))
+
+
 def branch_replay(events: DataFrame) -> DataFrame:
     """Branches of a conversation by its inner events: parent, fork point and whether a merge took the branch in.
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinlog.operators.paths import above, ends
 from skeinlog.session import checkpointed
 
 
-def visible_leaf(nodes: DataFrame, prompts: DataFrame, max_steps: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def visible_leaf(nodes: DataFrame, prompts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(turns, flags) of session graphs.
 
     ``nodes``: ``session_id, line_no, uuid, parent, conversational, text, role``
@@ -16,57 +17,36 @@ def visible_leaf(nodes: DataFrame, prompts: DataFrame, max_steps: int = 10_000)
     The leaf is the last prompt's, else the last conversational row; it moves
     down while exactly one child still leads to a turn.  Turns come in order from
     the root.  Flags: ``forked``, ``cycle``, ``missing_parent``, ``duplicate_uuid``, ``leaf_advanced``.
-    All sessions are walked together, one step a round.
+    All sessions are walked together, by doubling.
     """
     sizes = nodes.groupBy("session_id", "uuid").agg(F.count("*").alias("n"))
     duplicate = sizes.where("n > 1").select("session_id").distinct()
-    graph = checkpointed(nodes.join(duplicate, "session_id", "left_anti").select("session_id", "line_no", "uuid", F.nullif("parent", F.lit("")).alias("parent"), "conversational", "role", "text"))
-    # nodes at or above a turn: walked up from the turns
-    bearing = front = graph.where("text is not null").select("session_id", "uuid", "parent")
-    for _ in range(max_steps):
-        up = front.where("parent is not null").select("session_id", F.col("parent").alias("uuid")).distinct()
-        front = checkpointed(up.join(bearing, ["session_id", "uuid"], "left_anti").join(graph.select("session_id", "uuid", "parent"), ["session_id", "uuid"]))
-        if not front.take(1):
-            break
-        bearing = checkpointed(bearing.unionByName(front))
-    ways = bearing.where("parent is not null").groupBy("session_id", "parent").agg(F.count("*").alias("n"), F.min("uuid").alias("child"))
+    graph = checkpointed(nodes.join(duplicate, "session_id", "left_anti").select("session_id", "line_no", F.col("uuid").alias("node"), F.nullif("parent", F.lit("")).alias("parent"), "conversational", "role", "text"))
+    edges = graph.select("session_id", "node", "parent")
+    # nodes at or above a turn
+    bearing = above(edges, graph.where("text is not null").select("session_id", "node"), "session_id").select("session_id", "node").distinct()
+    ways = bearing.join(edges.where("parent is not null"), ["session_id", "node"]).groupBy("session_id", "parent").agg(F.count("*").alias("n"), F.min("node").alias("child"))
     ways = checkpointed(ways)
     forked = ways.where("n > 1").select("session_id").distinct().withColumn("forked", F.lit(True))
     asked = prompts.groupBy("session_id").agg(F.max_by("leaf", "line_no").alias("asked"))
-    last = graph.where("conversational").groupBy("session_id").agg(F.max_by("uuid", "line_no").alias("last"))
-    at = checkpointed(last.join(asked, "session_id", "full").select("session_id", F.coalesce("asked", "last").alias("uuid")))
-    first = at
-    seen = at
-    for _ in range(max_steps):
-        step = at.join(ways.where("n = 1"), (ways["session_id"] == at["session_id"]) & (ways["parent"] == at["uuid"])).select(at["session_id"], F.col("child").alias("uuid"))
-        step = checkpointed(step.join(seen, ["session_id", "uuid"], "left_anti"))
-        if not step.take(1):
-            break
-        seen = checkpointed(seen.unionByName(step))
-        at = checkpointed(at.join(step.select("session_id"), "session_id", "left_anti").unionByName(step))
-    advanced = at.join(first.withColumnRenamed("uuid", "was"), "session_id").select("session_id", (F.col("uuid") != F.col("was")).alias("leaf_advanced"))
-    # up to the root
-    walk = checkpointed(at.withColumn("depth", F.lit(0)))
-    path, cycle, missing = walk.limit(0), walk.select("session_id").limit(0), walk.select("session_id").limit(0)
-    for depth in range(1, max_steps):
-        held = walk.join(graph.select("session_id", "uuid", "parent"), ["session_id", "uuid"], "left")
-        known = graph.select("session_id", "uuid")
-        missing = missing.unionByName(walk.join(known, ["session_id", "uuid"], "left_anti").select("session_id"))
-        path = path.unionByName(walk)
-        onward = held.where("parent is not null").select("session_id", F.col("parent").alias("uuid"), F.lit(depth).alias("depth"))
-        cycle = cycle.unionByName(onward.join(path, ["session_id", "uuid"], "left_semi").select("session_id"))
-        walk = checkpointed(onward.join(path.select("session_id", "uuid"), ["session_id", "uuid"], "left_anti"))
-        path, cycle, missing = checkpointed(path), checkpointed(cycle), checkpointed(missing)
-        if not walk.take(1):
-            break
-    bad = cycle.unionByName(missing).distinct()
-    turns = path.join(bad, "session_id", "left_anti").join(graph.where("text is not null").select("session_id", "uuid", "role", "text"), ["session_id", "uuid"])
+    last = graph.where("conversational").groupBy("session_id").agg(F.max_by("node", "line_no").alias("last"))
+    first = last.join(asked, "session_id", "full").select("session_id", F.coalesce("asked", "last").alias("node"))
+    leaf = ends(ways.where("n = 1").select("session_id", F.col("parent").alias("node"), F.col("child").alias("parent")), first, "session_id")
+    advanced = leaf.select("session_id", (F.col("node") != F.col("end")).alias("leaf_advanced"))
+    tips = leaf.select("session_id", F.col("end").alias("node"))
+    path = above(edges, tips, "session_id")
+    looped = path.groupBy("session_id", "node").agg(F.count("*").alias("n")).where("n > 1").select("session_id").distinct()
+    known = edges.select("session_id", "node")
+    lost = tips.join(known, ["session_id", "node"], "left_anti").select("session_id")
+    ups = path.join(edges, ["session_id", "node"]).where("parent is not null").select("session_id", F.col("parent").alias("node"))
+    missing = checkpointed(lost.unionByName(ups.join(known, ["session_id", "node"], "left_anti").select("session_id")).distinct())
+    bad = looped.unionByName(missing).distinct()
+    turns = path.join(bad, "session_id", "left_anti").join(graph.where("text is not null").select("session_id", "node", "role", "text"), ["session_id", "node"])
     ordered = turns.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("k"), "role", "text"))).alias("t")).select("session_id", F.posexplode("t").alias("pos", "x")).select("session_id", "pos", "x.role", "x.text")
-    no = F.lit(False)
     flag = lambda df, name: df.select("session_id").distinct().withColumn(name, F.lit(True))
     flags = nodes.select("session_id").distinct()
-    for df, name in ((forked, "forked"), (flag(cycle, "cycle"), "cycle"), (flag(missing, "missing_parent"), "missing_parent"), (flag(duplicate, "duplicate_uuid"), "duplicate_uuid"), (advanced, "leaf_advanced")):
-        flags = flags.join(df, "session_id", "left").withColumn(name, F.coalesce(name, no))
+    for df, name in ((forked, "forked"), (flag(looped, "cycle"), "cycle"), (flag(missing, "missing_parent"), "missing_parent"), (flag(duplicate, "duplicate_uuid"), "duplicate_uuid"), (advanced, "leaf_advanced")):
+        flags = flags.join(df, "session_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
     return ordered, flags
 
 
