@@ -121,24 +121,27 @@ def backfill_varying(conversations: DataFrame, targets: list[str]) -> DataFrame:
     """As ``backfill`` with a cap per conversation in column ``cap``.
 
     A conversation is taken while fewer than its own cap were taken before it;
-    uncapped ones (negative) use up nothing.  The walk depends on order, so a
-    target's conversations are walked in one stateful pass; only ids and caps go
-    there.
+    uncapped ones (negative) are always taken and use up nothing.  The walk depends
+    on order, so it is done in one pass a target; but of the conversations with one cap
+    no more than the first ``cap`` can be taken, so only those go there.
     """
     import pyarrow as pa
 
     pairs = conversations.withColumn("target", F.explode(F.array(*[F.lit(t) for t in targets]))).where(~F.col("source").eqNullSafe(F.col("target"))).select("conv_id", "target", "updated_at", "cap")
+    top = conversations.agg(F.max("cap")).first()[0] or 0
+    order = Window.partitionBy("target", "cap").orderBy(F.desc("updated_at"), F.desc("conv_id"))
+    some = pairs.where("cap > 0").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= top).where("__n <= cap").drop("__n")
 
     def walk(table: pa.Table) -> pa.Table:
         rows = table.sort_by([("updated_at", "descending"), ("conv_id", "descending")])
         taken, kept = 0, []
         for cap in rows.column("cap").to_pylist():
-            ok = cap < 0 or taken < cap
-            taken += ok and cap >= 0
-            kept.append(ok)
+            kept.append(taken < cap)
+            taken += kept[-1]
         return rows.filter(pa.array(kept)).select(["conv_id", "target"])
 
-    return pairs.groupBy("target").applyInArrow(walk, pairs.select("conv_id", "target").schema)
+    free = pairs.where("cap < 0").select("conv_id", "target")
+    return free.unionByName(some.groupBy("target").applyInArrow(walk, free.schema))
 
 
 def store_areas(files: DataFrame) -> DataFrame:
