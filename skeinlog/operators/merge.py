@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -102,13 +103,15 @@ def positional_diff(a: DataFrame, b: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def event_diff(log: DataFrame, a: str, b: str) -> DataFrame:
-    """Two events, by id or hash, side by side; one row with the fields that differ."""
-    pick = lambda name: log.where((F.col("event_id").cast("string") == name) | (F.col("hash") == name)).limit(1)
+    """Two events, by id or hash, side by side; one row with the fields that differ.
+
+    Where several events go by one name the first in order of their fields is meant.
+    """
     fields = [c for c in log.columns if c not in ("event_id", "hash")]
-    left = pick(a).select(F.struct(*fields).alias("a"))
-    right = pick(b).select(F.struct(*fields).alias("b"))
+    pick = lambda name: log.where((F.col("event_id").cast("string") == name) | (F.col("hash") == name)).agg(F.min(F.struct("event_id", "hash", *fields)).alias("e")).where("e is not null")
+    left, right = pick(a).select(F.col("e").alias("a")), pick(b).select(F.col("e").alias("b"))
     differ = F.array_compact(F.array(*[F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in fields]))
-    return left.join(right, F.lit(True)).select("a", "b", differ.alias("differs_in"))
+    return left.join(right, F.lit(True)).select(F.col("a").dropFields("event_id", "hash").alias("a"), F.col("b").dropFields("event_id", "hash").alias("b"), differ.alias("differs_in"))
 
 
 def common_prefix_len(a: Column, b: Column) -> Column:
@@ -122,23 +125,39 @@ def is_subsequence(short: Column, long: Column) -> Column:
     return F.aggregate(long, F.lit(0), lambda k, x: k + F.when(F.get(short, k).eqNullSafe(x) & (k < F.size(short)), 1).otherwise(0)) == F.size(short)
 
 
+def _run_at(needle: Column, hay: Column, i: Column) -> Column:
+    """Whether ``needle`` stands at place ``i`` of ``hay``; its ends are looked at before all of it is compared."""
+    n = F.size(needle)
+    ends = F.get(hay, i).eqNullSafe(F.get(needle, F.lit(0))) & F.get(hay, i + n - 1).eqNullSafe(F.get(needle, n - 1))
+    return (n == 0) | (ends & (F.slice(hay, i + 1, n) == needle))
+
+
 def suffix_prefix_overlap(a: Column, b: Column, least: int = 2) -> Column:
     """Longest tail of ``a`` that opens ``b``, of ``least`` items or more; else 0."""
     top = F.least(F.size(a), F.size(b))
-    fits = F.filter(F.sequence(F.lit(0), top), lambda n: (n >= least) & (F.slice(a, F.size(a) - n + 1, n) == F.slice(b, F.lit(1), n)))
+    ends = lambda n: F.get(a, F.size(a) - n).eqNullSafe(F.get(b, F.lit(0))) & F.get(a, F.size(a) - 1).eqNullSafe(F.get(b, n - 1))
+    fits = F.filter(F.sequence(F.lit(0), top), lambda n: (n >= least) & ends(n) & (F.slice(a, F.size(a) - n + 1, n) == F.slice(b, F.lit(1), n)))
     return F.coalesce(F.array_max(fits), F.lit(0))
 
 
+def _places(needle: Column, hay: Column) -> Column:
+    return F.filter(F.sequence(F.lit(0), F.greatest(F.size(hay) - F.size(needle), F.lit(0))), lambda i: _run_at(needle, hay, i))
+
+
 def sublist_at(needle: Column, hay: Column) -> Column:
     """Place of the first occurrence of ``needle`` in ``hay``; -1 if there is none."""
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(hay) - F.size(needle), F.lit(0))), lambda i: F.slice(hay, i + 1, F.size(needle)) == needle)
-    return F.when(F.size(needle) > F.size(hay), F.lit(-1)).otherwise(F.coalesce(F.array_min(places), F.lit(-1)))
+    return F.when(F.size(needle) > F.size(hay), F.lit(-1)).otherwise(F.coalesce(F.array_min(_places(needle, hay)), F.lit(-1)))
+
+
+def sublist_replaced(items: Column, needle: Column, other: Column) -> Column:
+    """``items`` with the first occurrence of ``needle`` replaced by ``other``; as they are if there is none."""
+    at = sublist_at(needle, items)
+    return F.when(at < 0, items).otherwise(F.concat(F.slice(items, F.lit(1), at), other, F.slice(items, at + F.size(needle) + 1, F.size(items))))
 
 
 def tail_after(anchor: Column, items: Column) -> Column:
     """Items after the last occurrence of ``anchor``; null if there is none."""
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(items) - F.size(anchor), F.lit(0))), lambda i: F.slice(items, i + 1, F.size(anchor)) == anchor)
-    last = F.array_max(places)
+    last = F.array_max(_places(anchor, items))
     return F.when(last.isNotNull() & (F.size(anchor) <= F.size(items)), F.slice(items, last + F.size(anchor) + 1, F.size(items)))
 
 
@@ -164,17 +183,21 @@ def appended_lines(base: DataFrame, extras: DataFrame) -> DataFrame:
     """``artifact_id, text``: base and, after it, lines of the extras that it lacks.
 
     Lines are compared trimmed; blank ones are left out; of equal ones the first
-    stays.  If nothing is new the base is returned as it is.
+    stays.  If nothing is new the base is returned as it is.  Texts meet in one
+    join; their lines are sorted within the row, so nothing else is shuffled.
     """
-    split = lambda df, c: df.select("artifact_id", F.posexplode(F.split(c, "\n")).alias("at", "line")).withColumn("t", trim_space(F.col("line"))).where("t <> ''")
-    have = split(base, "text").select("artifact_id", "t").distinct()
-    rows = extras.select("artifact_id", F.col("n"), F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("t", trim_space(F.col("line"))).where("t <> ''")
-    new = rows.join(have, ["artifact_id", "t"], "left_anti").groupBy("artifact_id", "t").agg(F.min(F.struct("n", "at", "line")).alias("f"))
-    block = new.groupBy("artifact_id").agg(F.sort_array(F.collect_list(F.struct("f.n", "f.at", F.regexp_replace("f.line", r"[ \t\r]+$", "").alias("line")))).alias("ls"))
-    text = F.array_join(F.transform("ls", lambda x: x["line"]), "\n")
-    joined = base.join(block, "artifact_id", "left")
+    added = extras.groupBy("artifact_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n").alias("__more"))
+    joined = base.join(added, "artifact_id", "left")
+    lines = lambda c, side: F.transform(F.split(c, "\n"), lambda x, i: F.struct(trim_space(x).alias("t"), F.lit(side).alias("side"), i.alias("at"), x.alias("line")))
+    every = F.sort_array(F.filter(F.concat(lines(F.col("text"), 0), lines(F.coalesce("__more", F.lit("")), 1)), lambda x: x["t"] != ""))
+    made = joined.where("__more is not null").withColumn("__all", every)
+    # the first of equal lines; those of the base come before those of the extras
+    new = F.filter("__all", lambda x, i: (x["side"] == 1) & ((i == 0) | (F.get("__all", i - 1)["t"] != x["t"])))
+    made = made.withColumn("__new", F.sort_array(F.transform(new, lambda x: F.struct(x["at"].alias("at"), F.regexp_replace(x["line"], r"[ \t\r]+$", "").alias("line")))))
+    block = F.array_join(F.transform("__new", lambda x: x["line"]), "\n")
     head = F.when(trim_space(F.col("text")) == "", F.lit("")).when(F.endswith("text", F.lit("\n")), F.col("text")).otherwise(F.concat("text", F.lit("\n")))
-    return joined.select("artifact_id", F.when(F.col("ls").isNull(), F.col("text")).otherwise(F.concat(head, text, F.lit("\n"))).alias("text"))
+    out = made.select("artifact_id", F.when(F.size("__new") == 0, F.col("text")).otherwise(F.concat(head, block, F.lit("\n"))).alias("text"))
+    return out.unionByName(joined.where("__more is null").select("artifact_id", "text"))
 
 
 def stripped_lines(content: Column, extras: Column) -> Column:
@@ -222,36 +245,46 @@ def merged_branch(heads: DataFrame, source: str, target: str, strategy: str, man
 
 
 def _supersequence(a: list[str], b: list[str]) -> list[str]:
-    """A shortest sequence that holds both; where either order is as short, the smaller item comes first."""
+    """A shortest sequence that holds both; where either order is as short, the smaller item comes first.
+
+    Common ends are set aside.  The table of the rest is filled a row at a time in
+    numpy; of each cell only two bits stay: whether going on in ``a`` leaves a
+    longer common subsequence than going on in ``b``, and whether it is as long.
+    """
+    head = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    out, a, b = a[:head], a[head:], b[head:]
+    end = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), min(len(a), len(b)))
+    rest, a, b = a[len(a) - end :], a[: len(a) - end], b[: len(b) - end]
     n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n, -1, -1):
-        for j in range(m, -1, -1):
-            if i == n or j == m:
-                best[i][j] = n - i + m - j
-            elif a[i] == b[j]:
-                best[i][j] = 1 + best[i + 1][j + 1]
-            else:
-                best[i][j] = 1 + min(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
+    if n and m:
+        number = {x: i for i, x in enumerate(sorted({*a, *b}))}
+        left, right = np.array([number[x] for x in a], np.int32), np.array([number[x] for x in b], np.int32)
+        longer, even = np.zeros((n, (m + 7) // 8), np.uint8), np.zeros((n, (m + 7) // 8), np.uint8)
+        below = np.zeros(m + 1, np.int32)
+        for i in range(n - 1, -1, -1):
+            row = np.maximum(below, np.append(below[1:] + (right == left[i]), 0))
+            row = np.maximum.accumulate(row[::-1])[::-1]
+            longer[i], even[i] = np.packbits(below[:m] > row[1:]), np.packbits(below[:m] == row[1:])
+            below = row
+    i = j = 0
     while i < n or j < m:
         if i < n and j < m and a[i] == b[j]:
             out.append(a[i])
             i, j = i + 1, j + 1
-        elif j == m or (i < n and (best[i + 1][j], a[i]) <= (best[i][j + 1], b[j])):
+        elif j == m or (i < n and (longer[i, j >> 3] >> (7 - j & 7) & 1 or (even[i, j >> 3] >> (7 - j & 7) & 1 and a[i] <= b[j]))):
             out.append(a[i])
             i += 1
         else:
             out.append(b[j])
             j += 1
-    return out
+    return out + rest
 
 
 def supersequences(pairs: DataFrame) -> DataFrame:
     """``artifact_id, merged`` for rows with arrays ``a`` and ``b``: their shortest common supersequence.
 
-    The table is quadratic in a pair's length, so pairs are the unit of work and
-    the only thing a task holds.
+    Time is quadratic in what a pair doesn't share at its ends; a pair is the unit of
+    work and two bits a cell of its table all that a task holds.
     """
 
     def run(batches):

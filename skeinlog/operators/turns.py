@@ -73,6 +73,13 @@ def transcript(turns: DataFrame) -> DataFrame:
     return turns.groupBy("artifact_id").agg(F.array_join(F.transform(ordered, lambda x: x["p"]), "\n\n").alias("markdown"))
 
 
+def turns_hash(turns: DataFrame) -> DataFrame:
+    """One digest of a conversation's visible turns, the key for equality across copies."""
+    part = F.concat("role", F.lit("\x1f"), "text")
+    ordered = F.sort_array(F.collect_list(F.struct("pos", part.alias("p"))))
+    return turns.groupBy("artifact_id").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["p"]), "\x1e"), 256).alias("turns_hash"))
+
+
 def alternating(turns: DataFrame) -> DataFrame:
     """Whether each conversation alternates user and assistant and ends with an answer."""
     w = Window.partitionBy("artifact_id").orderBy("pos")

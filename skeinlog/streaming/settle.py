@@ -52,8 +52,10 @@ def debounce_stream(changes: DataFrame, quiet_ms: int = QUIET_MS, late_ms: int =
     return burst.agg(F.max_by("content_hash", "ts").alias("content_hash"), F.max("ts").alias("last_change"), F.count("*").alias("n_changes")).select("path", "last_change", "n_changes", "content_hash")
 
 
-def dedupe_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Live events, each id once within the watermark."""
+def deduped(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Events with each id once: within the watermark on a live stream, over all of a table."""
+    if not events.isStreaming:
+        return events.dropDuplicates(["event_id"])
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
