@@ -84,7 +84,7 @@ def retry_backoff(spark, sf_dir):
     return load_table(spark, sf_dir, "events").select("event_id", X.backoff_seconds(F.col("event_id") % 40).alias("delay"))
 
 
-@query("branch_names", r"SELECT doc_id, rtrim(substr(trim(regexp_replace(regexp_replace(lower(left(text, 90)), '[^a-z0-9\-_ /.]', '', 'g'), '[\-_ /.]+', '-', 'g'), '-'), 1, 64), '-') AS branch FROM documents WHERE rtrim(substr(trim(regexp_replace(regexp_replace(lower(left(text, 90)), '[^a-z0-9\-_ /.]', '', 'g'), '[\-_ /.]+', '-', 'g'), '-'), 1, 64), '-') <> ''")
+@query("branch_names", r"SELECT doc_id, rtrim(substr(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\-_ /.]', '', 'g'), '[\-_ /.]+', '-', 'g'), '-'), 1, 64), '-') AS branch FROM documents WHERE rtrim(substr(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\-_ /.]', '', 'g'), '[\-_ /.]+', '-', 'g'), '-'), 1, 64), '-') <> ''")
 def branch_names(spark, sf_dir):
     docs = load_table(spark, sf_dir, "documents")
-    return docs.select("doc_id", X.normalized_branch(F.substring("text", 1, 90)).alias("branch")).where("branch is not null")
+    return docs.select("doc_id", X.normalized_branch(F.col("text")).alias("branch")).where("branch is not null")

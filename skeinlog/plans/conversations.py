@@ -101,8 +101,4 @@ def turn_keys(spark, sf_dir):
     f"""WITH {TURNS} SELECT artifact_id, sha256(string_agg(role || chr(31) || t, chr(30) ORDER BY pos)) AS turns_hash FROM turns GROUP BY artifact_id""",
 )
 def turns_hash(spark, sf_dir):
-    """One digest of a conversation's visible turns, the key for equality across copies."""
-    t = T.visible_turns(conv_events(spark, sf_dir))
-    part = F.concat("role", F.lit("\x1f"), "text")
-    ordered = F.sort_array(F.collect_list(F.struct("pos", part.alias("p"))))
-    return t.groupBy("artifact_id").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["p"]), "\x1e"), 256).alias("turns_hash"))
+    return T.turns_hash(T.visible_turns(conv_events(spark, sf_dir)))

@@ -36,14 +36,13 @@ def debounce_committed(spark, sf_dir):
 
 @query(
     "quarantine",
-    """WITH r AS (SELECT event_id, user_id AS name, ts, event_type = 'purchase' AS ok, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM events WHERE event_type IN ('purchase', 'error', 'signup')),
+    """WITH r AS (SELECT event_id, user_id AS name, ts, event_type IN ('purchase', 'view') AS ok, sum(CASE WHEN event_type IN ('purchase', 'view') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM events),
 f AS (SELECT event_id, name, count(*) OVER (PARTITION BY name, s ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS failures FROM r WHERE NOT ok)
 SELECT event_id, name, failures FROM f WHERE failures >= 3""",
 )
 def quarantine(spark, sf_dir):
-    """Purchases are successes, errors and sign-ups failures; the window is a day, as the surrogate is sparse."""
-    e = _events(spark, sf_dir).where(F.col("event_type").isin("purchase", "error", "signup"))
-    rows = e.select("event_id", F.col("user_id").alias("name"), "ts", F.col("event_id").alias("seq"), (F.col("event_type") == "purchase").alias("ok"))
+    """Purchases and views are successes, the others failures; the window is a day, as the surrogate is sparse."""
+    rows = _events(spark, sf_dir).select("event_id", F.col("user_id").alias("name"), "ts", F.col("event_id").alias("seq"), F.col("event_type").isin("purchase", "view").alias("ok"))
     return S.quarantines(rows, 3, 86400).select("event_id", "name", "failures")
 
 
@@ -71,16 +70,16 @@ def high_water(spark, sf_dir):
 @query("event_id_dedupe", "SELECT DISTINCT event_id, user_id FROM events")
 def event_id_dedupe(spark, sf_dir):
     e = _events(spark, sf_dir).select("event_id", "user_id")
-    return e.unionByName(e.where("event_id % 3 = 0")).dropDuplicates(["event_id"])
+    return S.deduped(e.unionByName(e.where("event_id % 3 = 0")))
 
 
 @query(
     "fingerprint_diff",
-    """WITH b AS (SELECT user_id AS path, count(*) AS size, max(event_id) AS mtime FROM events WHERE event_id < 8000 AND user_id % 10 <> 3 GROUP BY 1), a AS (SELECT user_id AS path, count(*) AS size, max(event_id) AS mtime FROM events WHERE event_id % 50 <> 0 AND event_id < 8000 AND user_id % 10 <> 4 GROUP BY 1)
+    """WITH b AS (SELECT user_id AS path, count(*) AS size, max(event_id) AS mtime FROM events WHERE user_id % 10 <> 3 GROUP BY 1), a AS (SELECT user_id AS path, count(*) AS size, max(event_id) AS mtime FROM events WHERE event_id % 50 <> 0 AND user_id % 10 <> 4 GROUP BY 1)
 SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'REMOVE' ELSE 'CHANGE' END AS op FROM b FULL JOIN a ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.size <> b.size OR a.mtime <> b.mtime""",
 )
 def fingerprint_diff(spark, sf_dir):
-    e = _events(spark, sf_dir).where("event_id < 8000")
+    e = _events(spark, sf_dir)
     listing = lambda df: df.groupBy(F.col("user_id").alias("path")).agg(F.count("*").alias("size"), F.max("event_id").alias("mtime"))
     return S.fingerprint_diff(listing(e.where("user_id % 10 <> 3")), listing(e.where("event_id % 50 <> 0 and user_id % 10 <> 4")))
 
