@@ -48,22 +48,25 @@ def fingerprints_of(texts: list[str | None], width: int = 3) -> np.ndarray:
     U+000D, shingles are ``width`` words with repeats; a text of fewer words is
     one shingle and a text without words has fingerprint zero.
     """
-    out = np.zeros(len(texts), np.uint64)
+    return np.array([majority(hashes_of(text, width)) for text in texts], np.uint64)
+
+
+def hashes_of(text: str | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of a text's shingles in order, repeats included."""
+    words = (text or "").encode().lower().split()
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    for k, text in enumerate(texts):
-        words = (text or "").encode().lower().split()
-        if not words:
-            continue
-        if len(words) <= width:
-            hashes = [digest(join(words), 42)]
-        else:
-            hashes = [digest(join(t), 42) for t in zip(*[words[i:] for i in range(width)], strict=False)]
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), 1 << 16):
-            some = np.array(hashes[at : at + (1 << 16)], ">u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(some, axis=1).sum(axis=0, dtype=np.int64)
-        out[k] = int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
-    return out
+    if len(words) <= width:
+        return np.array([digest(join(words), 42)] if words else [], np.uint64)
+    return np.fromiter((digest(join(t), 42) for t in zip(*[words[i:] for i in range(width)], strict=False)), np.uint64, len(words) - width + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        some = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(some, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(df: DataFrame, text: str = "text", keys: list[str] | None = None) -> DataFrame:
@@ -287,15 +290,34 @@ def shard_labels(homes: np.ndarray, guests: np.ndarray, radius: int = RADIUS, ow
     return points[many], smallest[root][many]
 
 
+#: Links up to this many are contracted in one task (16 bytes each); more in rounds of joins.
+TASK_LINKS = 1_000_000
+
+
+def _contracted_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every node of the links that isn't its component's smallest, and that one."""
+    held = [(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)) for b in batches]
+    a, b = (np.concatenate([np.zeros(0, np.int64), *[h[i] for h in held]]) for i in (0, 1))
+    nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    links = Links(nodes.view(np.uint64))
+    links.unite(place[: len(a)], place[len(a) :])
+    root = links._root(np.arange(len(nodes)))
+    more = root != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[more]), pa.array(nodes[root[more]])], names=["a", "label"])
+
+
 def contracted(links: DataFrame) -> DataFrame:
-    """``a``, ``label``: connected components of distinct links (a > b), by stars towards the smallest node.
+    """``a``, ``label``: connected components of distinct links (a > b), every node but a component's smallest with that one.
 
-    Each round points the larger neighbours of a node, then the smaller ones,
-    at the smallest.  Rounds grow with the logarithm of the longest chain.  Each
+    Up to ``TASK_LINKS`` links are joined in one task.  More are contracted by stars:
+    each round points the larger neighbours of a node, then the smaller ones, at
+    the smallest.  Rounds grow with the logarithm of the longest chain.  Each
     round is checkpointed, so a lost executor costs one round.
     """
     links = checkpointed(links)
     size = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+    if size[0] <= TASK_LINKS:
+        return checkpointed(links.select("a", "b").coalesce(1).mapInArrow(_contracted_here, "a long, label long"))
     while size[0]:
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"))

@@ -1,14 +1,20 @@
-"""Near duplicates by exact Jaccard similarity of word shingles, for the pipeline.
+"""Near duplicates for the pipeline: SimHash groups first, then every other link of Jaccard similarity 0.8 or more.
 
 Texts are sets of 5-word shingles; two are linked from a similarity of 0.8 on.
-Under any common order of shingles two such sets share one of the first n // 5 + 1
-of each, so only these prefixes are dealt, by shingle.  Shingles that are frequent
-in a sample come last in the order, which keeps prefixes apart that have no more than
-a common passage or template; the sample changes the work, never the links.
+Operator 4 finds the groups: fingerprints over the shingles, linked at 3 bits or fewer
+by its vantage-point trees, and each text is held against the first of its
+group.  That finds most links of copies.  It can't find all: two texts as similar
+as 0.8 differ in ten bits of 64 on average, and no tree prunes at such a radius.
+
+The others come from the shingles themselves.  Under any common order of shingles two
+such sets share one of the first n // 5 + 1 of each, so these prefixes are dealt, by
+shingle; only shingles whose texts aren't one component yet go on.  Shingles that are
+frequent in a sample come last in the order, which keeps prefixes apart that have no
+more than a common passage; the sample changes the work, never the links.
 
 Candidates pass bounds that no linked pair fails (sizes, places in the order,
-parity bits of the sets) and are then held against the whole sets.  The first round
-holds each prefix shingle's texts against one of them; the second round
+parity bits of the sets) and are then held against the whole sets.  A first round
+holds each prefix shingle's texts against one of them; a second round
 compares only those that are not in one component yet.
 """
 
@@ -23,26 +29,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinlog.llm.common import map_text
-from skeinlog.llm.hamming_tree import contracted, first_of_each, keyed, smallest
-from skeinlog.session import checkpointed
+from skeinlog.llm.hamming_tree import contracted, first_of_each, hashes_of, keyed, majority, point_labels, smallest
+from skeinlog.session import checkpointed, removed, shared_folder, written
 
 WIDTH = 5
 #: Rows that the order of shingles is sampled from, about, and frequent shingles that it knows, at most.
 SAMPLE_ROWS = 4_096
 FREQUENT = 200_000
-#: Shingles of several prefixes up to this many are broadcast (16 bytes each); more are joined by shuffle.
-BROADCAST_SHINGLES = 1_000_000
+#: Rows of shingles, points and pairs up to this many are broadcast (60 bytes each at most); more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingles_of(text: str | None) -> np.ndarray:
     """Distinct shingles as sorted uint64; words as for fingerprints, a text of fewer words is one shingle, one without words has none."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    if len(words) <= WIDTH:
-        return np.array([digest(join(words), 42)], np.uint64)
-    return np.unique(np.fromiter((digest(join(t), 42) for t in zip(*[words[i:] for i in range(WIDTH)], strict=False)), np.uint64, len(words) - WIDTH + 1))
+    return np.unique(hashes_of(text, WIDTH))
 
 
 def point_of(shingles: np.ndarray) -> int:
@@ -86,6 +86,11 @@ def may_link(x: bytes, y: bytes, n: int) -> bool:
     return 9 * int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= n
 
 
+def _small(df: DataFrame, n: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if its rows are few."""
+    return F.broadcast(df) if (df.count() if n is None else n) <= BROADCAST_ROWS else df
+
+
 def plausible(points: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that pass the bound of the sketches."""
     held = points.select("point", "n", "sketch")
@@ -99,8 +104,8 @@ def plausible(points: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def sets(df: DataFrame, text: str, doc: str) -> DataFrame:
-    """``doc``, ``point`` and ``shingles`` of every row."""
+def sets(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """``keys``, ``point`` and ``shingles`` of every row."""
 
     def make():
         def work(texts):
@@ -109,14 +114,14 @@ def sets(df: DataFrame, text: str, doc: str) -> DataFrame:
 
         return work
 
-    return map_text(df, [doc], text, "point long, shingles array<bigint>", make)
+    return map_text(rows, keys, text, "point long, shingles array<bigint>", make)
 
 
-def frequent_shingles(df: DataFrame, text: str, doc: str) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of four distinct texts of the sample or more, sorted, and in how many they are."""
-    share = SAMPLE_ROWS / max(1, df.count())
-    some = df if share >= 1 else df.where(F.xxhash64(F.col(f"`{doc}`")) <= int((2 * share - 1) * 2**63))
-    held = sets(some, text, doc).groupBy("point").agg(F.first("shingles").alias("shingles"))
+    share = SAMPLE_ROWS / max(1, rows.count())
+    some = rows if share >= 1 else rows.where(F.xxhash64("__doc") <= int((2 * share - 1) * 2**63))
+    held = sets(some, "__text", ["__doc"]).groupBy("point").agg(F.first("shingles").alias("shingles"))
     counted = held.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n >= 4")
     top = counted.orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
     s, n = top.column("s").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy()
@@ -124,66 +129,100 @@ def frequent_shingles(df: DataFrame, text: str, doc: str) -> tuple[np.ndarray, n
     return s[order], n[order]
 
 
-def verified(df: DataFrame, points: DataFrame, pairs: DataFrame, text: str, doc: str) -> DataFrame:
-    """The pairs (``a`` > ``b``) whose sets have a Jaccard similarity of 0.8 or more."""
+def verified(rows: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (``a`` > ``b``) whose sets have a Jaccard similarity of 0.8 or more.
+
+    Sets are made from the texts again, for texts of candidates only.  While
+    pairs are few they go to the texts, so that a set is shuffled once, to its partner.
+    """
     pairs = checkpointed(plausible(points, pairs))
-    named = points.select("point", F.col("doc").alias("__id")).join(pairs.select(F.explode(F.array("a", "b")).alias("point")).distinct(), "point")
-    named = checkpointed(named)
-    rows = df.join(named, F.col(f"`{doc}`") == F.col("__id"), "left_semi")
-    held = checkpointed(sets(rows, text, doc).withColumnRenamed(doc, "__id").join(named, ["point", "__id"], "left_semi"))
-    both = pairs.join(held.select(F.col("point").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("point").alias("b"), F.col("shingles").alias("y")), "b")
-    return checkpointed(both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b").distinct())
+    n = pairs.count()
+    first = points.select("point", F.col("low.doc").alias("__d"), F.col("low.th").alias("__t"))
 
+    def side(name: str, column: str) -> DataFrame:
+        wanted = first.join(pairs.select(F.col(name).alias("point")).distinct(), "point")
+        chosen = rows.join(_small(wanted, n), F.expr("__doc = __d and __th = __t"), "left_semi")
+        return sets(chosen, "__text", ["__doc"]).select(F.col("point").alias(name), F.col("shingles").alias(column))
 
-def components(df: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """``doc`` and ``component_id`` (the smallest id reachable over links of similarity 0.8 or more) of every row with an id.
+    both = side("a", "x").join(_small(pairs, n), "a").join(side("b", "y"), "b")
+    return checkpointed(both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select("a", "b").distinct())
 
-    Rows without an id take no part.  Texts without words have equal (empty)
-    sets and are one component.  Repeated rows give repeated results.
-    """
-    df = df.where(F.col(f"`{doc}`").isNotNull())
-    frequent, counts = frequent_shingles(df, text, doc)
+
+def _found(df: DataFrame, text: str, doc: str) -> DataFrame:
+    """``__doc``, ``__th`` and ``low`` (the first row of its component by id and text) of every row with an id."""
+    rows = keyed(df, text, doc).where("__doc is not null")
+    frequent, counts = frequent_shingles(rows)
 
     def make():
         def work(texts):
-            found = [shingles_of(t) for t in texts]
+            hashes = [hashes_of(t, WIDTH) for t in texts]
+            found = [np.unique(h) for h in hashes]
             parity = [parity_of(s) for s in found]
-            return [[point_of(s) for s in found], [len(s) for s in found], *[[p[i] for p in parity] for i in range(4)], [sketch_of(s) for s in found], [prefix_of(s, frequent, counts).view(np.int64) for s in found]]
+            fps = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+            return [[point_of(s) for s in found], [len(s) for s in found], fps, *[[p[i] for p in parity] for i in range(4)], [sketch_of(s) for s in found], [prefix_of(s, frequent, counts).view(np.int64) for s in found]]
 
         return work
 
-    made = checkpointed(map_text(df, [doc], text, "point long, n int, p0 long, p1 long, p2 long, p3 long, sketch binary, prefix array<bigint>", make).withColumnRenamed(doc, "doc"))
-    columns = ["n", "p0", "p1", "p2", "p3"]
-    points = checkpointed(made.groupBy("point").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in [*columns, "sketch", "prefix"]]))
-    # shingles of one prefix only, which are most, are dealt by name alone
-    names = points.select("point", F.posexplode("prefix").alias("i", "s"))
-    several = checkpointed(names.groupBy("s").agg(F.min("point").alias("low"), F.max("point").alias("high")).where("low < high").select("s", "low"))
-    if several.count() <= BROADCAST_SHINGLES:
-        dealt = points.select("point", *columns, F.posexplode("prefix").alias("i", "s")).join(F.broadcast(several), "s")
-    else:
-        dealt = names.join(several, "s").join(points.select("point", *columns), "point")
-    dealt = checkpointed(dealt)
-    x, y = dealt.alias("x"), dealt.alias("y")
+    folder = shared_folder(df.sparkSession)
+    schema = "point long, n int, fp long, p0 long, p1 long, p2 long, p3 long, sketch binary, prefix array<bigint>"
+    try:
+        made = written(map_text(rows, ["__doc", "__th"], "__text", schema, make), folder)
+        named = checkpointed(made.select("__doc", "__th", "point"))
+        columns = ["n", "p0", "p1", "p2", "p3"]
+        points = checkpointed(made.groupBy("point").agg(smallest().alias("low"), *[F.first(c).alias(c) for c in [*columns, "fp", "sketch"]]))
+        size = points.count()
+
+        # groups of fingerprints
+        groups = point_labels(points.select("fp").distinct())
+        grouped = points.select("point", "fp").join(groups, "fp", "left").select("point", F.coalesce("label", "fp").alias("label"))
+        centre = grouped.groupBy("label").agg(F.min("point").alias("b"), F.max("point").alias("top")).where("b < top").select("label", "b")
+        copies = grouped.join(centre, "label").where("point > b").select(F.col("point").alias("a"), "b")
+        links = verified(rows, points, copies)
+
+        # shingles whose texts aren't one component yet
+        labels = contracted(links)
+        labelled = checkpointed(points.select("point", *columns).join(labels, F.col("point") == F.col("a"), "left").select("point", F.coalesce("label", "point").alias("label"), *columns))
+        names = made.select("point", "prefix").join(_small(labelled.select("point", "label"), size), "point").select("point", "label", F.posexplode("prefix").alias("i", "s"))
+        several = checkpointed(names.groupBy("s").agg(F.min("point").alias("low"), F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("s", "low"))
+        shared = names.join(_small(several), "s").select("s", "point", "i", "low").distinct()
+        dealt = checkpointed(shared.join(_small(labelled, size), "point"))
+    finally:
+        removed(df.sparkSession, folder)
+
     bounds = (
         "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) and 9 * least(x.n - x.i, y.n - y.i) >= 4 * (x.n + y.n)"
         " and 9 * (bit_count(x.p0 ^ y.p0) + bit_count(x.p1 ^ y.p1) + bit_count(x.p2 ^ y.p2) + bit_count(x.p3 ^ y.p3)) <= x.n + y.n"
     )
     pair = [F.col("x.point").alias("a"), F.col("y.point").alias("b")]
-    stars = x.join(dealt.where("point = low").alias("y"), F.expr(f"x.s = y.s and x.point > y.point and {bounds}")).select(*pair).distinct()
-    first = verified(df, points, stars, text, doc)
-    labels = contracted(first).select(F.col("a").alias("point"), "label")
-    labelled = checkpointed(dealt.join(labels, "point", "left").withColumn("label", F.coalesce("label", "point")))
-    apart = labelled.groupBy("s").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("s")
-    labelled = checkpointed(labelled.join(apart, "s", "left_semi"))
-    x, y = labelled.alias("x"), labelled.alias("y")
+    x, y = dealt.alias("x"), dealt.where("point = low").alias("y")
+    stars = x.join(y, F.expr(f"x.s = y.s and x.point > y.point and x.label <> y.label and {bounds}")).select(*pair).distinct()
+    links = checkpointed(links.unionByName(verified(rows, points, stars)))
+    now = contracted(links).select(F.col("a").alias("__was"), F.col("label").alias("__now"))
+    later = dealt.join(now, F.col("point") == F.col("__was"), "left").withColumn("label", F.coalesce("__now", "point")).drop("__was", "__now")
+    apart = later.groupBy("s").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("s")
+    later = checkpointed(later.join(apart, "s", "left_semi"))
+    x, y = later.alias("x"), later.alias("y")
     # pairs with the shingle's lowest text are settled by the first round
     rest = x.join(y, F.expr(f"x.s = y.s and x.point > y.point and y.point > y.low and x.label <> y.label and {bounds}")).select(*pair).distinct()
-    joined = checkpointed(contracted(first.unionByName(verified(df, points, rest, text, doc))))
-    known = points.join(joined, F.col("point") == F.col("a"), "left").select("point", "doc", F.coalesce("label", "point").alias("label"))
-    low = known.groupBy("label").agg(F.min("doc").alias("component_id"))
-    return made.select("doc", "point").join(known.select("point", "label").join(low, "label"), "point").select(F.col("doc").alias(doc), "component_id")
+    joined = contracted(links.unionByName(verified(rows, points, rest)))
+    known = points.select("point", "low").join(joined, F.col("point") == F.col("a"), "left").select("point", "low", F.coalesce("label", "point").alias("label"))
+    low = known.groupBy("label").agg(F.min("low").alias("low"))
+    return named.join(known.select("point", "label").join(low, "label"), "point").select("__doc", "__th", "low")
+
+
+def components(df: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
+    """``doc`` and ``component_id`` (the smallest id reachable over links of similarity 0.8 or more) of every row with an id.
+
+    Rows without an id take no part.  Texts without words have equal (empty)
+    sets and are one component.  Repeated rows give repeated results.
+    """
+    return _found(df, text, doc).select(F.col("__doc").alias(doc), F.col("low.doc").alias("component_id"))
 
 
 def one_of_each(df: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` whose id is their component's, with the columns of ``df``; rows without an id stay, of rows that share one a single row."""
-    return first_of_each(df, components(df, text, doc), doc)
+    """One row of each component, the first by id and text, with the columns of ``df``.
+
+    Rows without an id stay.  Repeated rows (of one id and text) stay as one; rows
+    that share an id but not the text are documents of their own.
+    """
+    return first_of_each(df, _found(df, text, doc), text, doc)

@@ -44,9 +44,9 @@ def make_rows():
     return [(i, " ".join(r)) for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("broadcast", [shingle_links.BROADCAST_SHINGLES, 0])
+@pytest.mark.parametrize("broadcast", [shingle_links.BROADCAST_ROWS, 0])
 def test_stage_equals_brute_force(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(shingle_links, "BROADCAST_SHINGLES", broadcast)
+    monkeypatch.setattr(shingle_links, "BROADCAST_ROWS", broadcast)
     rows = make_rows()
     docs = spark.createDataFrame([*rows, (None, rows[0][1]), rows[5]], "doc_id long, text string").repartition(3)
     want = brute(rows)
