@@ -1,8 +1,8 @@
 """Operator 9: BPE by a priority queue of merge ranks, and its decoder.
 
 A pre-token's bytes are a doubly linked list of symbols.  The queue holds
-(rank, place, left, right) of adjacent pairs; an entry is stale, and skipped,
-if its place no longer holds those two symbols side by side.  A merge writes
+rank and place of adjacent pairs; an entry is stale, and skipped, if no pair of
+that rank begins at its place any more.  A merge writes
 the new symbol over the left one, unlinks the right one and queues the two new
 pairs.  Decoding joins the vocabulary strings of the ids.
 """
@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import sys
+from array import array
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -26,40 +28,47 @@ def encode_piece(data: bytes, byte_ids: list[int], pairs: dict) -> list[int]:
     n = len(symbols)
     if n < 2:
         return symbols
-    queue = []
-    for i in range(n - 1):
-        found = pairs.get((symbols[i], symbols[i + 1]))
-        if found is not None:
-            queue.append((found[0], i, symbols[i], symbols[i + 1], found[1]))
+    get = pairs.get
+    # (rank, merged id) of the pair that begins at each place, if it is one; the queue holds rank * n + place
+    held = [get(pair) for pair in zip(symbols, symbols[1:], strict=False)]
+    held.append(None)
+    queue = [found[0] * n + i for i, found in enumerate(held) if found is not None]
+    if not queue:
+        return symbols
     heapify(queue)
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
     while queue:
-        _, i, left, right, made = heappop(queue)
-        if symbols[i] != left:
-            continue
-        j = after[i]
-        if j >= n or symbols[j] != right:
+        rank, i = divmod(heappop(queue), n)
+        found = held[i]
+        if found is None or found[0] != rank:
             continue
-        symbols[i], symbols[j] = made, -1
+        made, j = found[1], after[i]
+        symbols[i], symbols[j], held[j] = made, -1, None
         k = after[i] = after[j]
         if k < n:
             before[k] = i
-            found = pairs.get((made, symbols[k]))
+            found = held[i] = get((made, symbols[k]))
             if found is not None:
-                heappush(queue, (found[0], i, made, symbols[k], found[1]))
+                heappush(queue, found[0] * n + i)
+        else:
+            held[i] = None
         h = before[i]
         if h >= 0:
-            found = pairs.get((symbols[h], made))
+            found = held[h] = get((symbols[h], made))
             if found is not None:
-                heappush(queue, (found[0], h, symbols[h], made, found[1]))
+                heappush(queue, found[0] * n + h)
     return [s for s in symbols if s >= 0]
 
 
 def encode_pieces(vocabulary: Vocabulary, pieces: list[str]) -> list[bytes]:
     """Little-endian int32 ids of each pre-token, as bytes."""
     byte_ids, pairs = vocabulary.byte_ids.tolist(), vocabulary.pairs
-    return [np.array(encode_piece(p.encode(), byte_ids, pairs), "<i4").tobytes() for p in pieces]
+    made = [array("i", encode_piece(p.encode(), byte_ids, pairs)) for p in pieces]
+    if sys.byteorder == "big":
+        for ids in made:
+            ids.byteswap()
+    return [ids.tobytes() for ids in made]
 
 
 def decode(vocabulary: Vocabulary, ids: list[int]) -> str:

@@ -76,15 +76,18 @@ class WordCoder:
     """
 
     #: Bytes of parts, pre-tokens and codes that stay between calls, about; beyond that the cache starts afresh.
-    CACHE_BYTES = 16 << 20
+    CACHE_BYTES = 64 << 20
     #: Bytes that an entry takes besides its characters and code, about.
-    ENTRY_BYTES = 250
+    ENTRY_BYTES = 150
+    #: Marks of what was met before: only what is met a second time stays.
+    MARKS = 1 << 22
 
     def __init__(self, vocabulary: Vocabulary, encode, zero):
         self.vocabulary, self.encode, self.zero = vocabulary, encode, zero
         self.parts: dict = {}
         self.pieces: dict = {}
         self.held = 0
+        self.met, self.n_met = bytearray(self.MARKS), 0
         self.find = regex.compile(PATTERN).findall
         self.marks = list(vocabulary.special)
 
@@ -99,8 +102,6 @@ class WordCoder:
         try:
             return self._lists(texts)
         finally:
-            if self.held > self.CACHE_BYTES:
-                self.clear()
             if resting:
                 gc.enable()
 
@@ -108,9 +109,24 @@ class WordCoder:
         """Forget all parts."""
         self.parts, self.pieces, self.held = {}, {}, 0
 
-    def _size(self, entries: dict) -> int:
-        chars = sum(map(len, entries))
-        return self.ENTRY_BYTES * len(entries) + 2 * chars + (4 * chars if type(self.zero) is bytes else 0)
+    def _forget(self, cache: dict, fresh) -> None:
+        """Take out of ``cache`` what of ``fresh`` is met for the first time."""
+        met, mask = self.met, self.MARKS - 1
+        once = [x for x in fresh if not met[hash(x) & mask]]
+        for x in once:
+            del cache[x]
+            met[hash(x) & mask] = 1
+        self.n_met += len(once)
+        stays = len(fresh) - len(once)
+        self.held += stays * self.ENTRY_BYTES + 6 * (sum(map(len, fresh)) - sum(map(len, once)))
+
+    def _tidy(self, parts, pieces) -> None:
+        self._forget(self.parts, parts)
+        self._forget(self.pieces, pieces)
+        if self.held > self.CACHE_BYTES:
+            self.clear()
+        if 4 * self.n_met > self.MARKS:
+            self.met, self.n_met = bytearray(self.MARKS), 0
 
     def _lists(self, texts: list[str]) -> list[list]:
         find, parts, marks = self.find, self.parts, self.marks
@@ -132,7 +148,10 @@ class WordCoder:
         # str.isspace also holds for U+001C to U+001F, which the pattern takes as visible: the slow way is right for them too
         cut, wild_parts = {}, set()
         for w in fresh:
-            if w and not w[-1].isspace():
+            if w.isalpha():
+                # letters alone are one pre-token
+                cut[w] = [" " + w]
+            elif w and not w[-1].isspace():
                 cut[w] = find(w[1:] if w[0] == " " else " " + w)
             else:
                 wild_parts.add(w)
@@ -150,10 +169,7 @@ class WordCoder:
         need = [p for p in need if p not in self.pieces]
         for at in range(0, len(need), 50_000):
             some = need[at : at + 50_000]
-            made = dict(zip(some, self.encode(some), strict=True))
-            self.held += self._size(made)
-            self.pieces.update(made)
-        self.held += self._size(cut)
+            self.pieces.update(zip(some, self.encode(some), strict=True))
         pieces, zero = self.pieces, self.zero
         for w, ps in cut.items():
             parts[w] = pieces[ps[0]] if len(ps) == 1 else self.add([pieces[p] for p in ps], zero)
@@ -163,6 +179,7 @@ class WordCoder:
                 out.append(list(map(parts.__getitem__, words)))
             else:
                 out.append([pieces[p] if type(p) is str else p[0] for p in wild[k]])
+        self._tidy(cut, need)
         return out
 
     def _cut(self, text: str) -> list:
