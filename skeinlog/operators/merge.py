@@ -102,6 +102,21 @@ def positional_diff(a: DataFrame, b: DataFrame, limit: int = 5) -> DataFrame:
     return both.withColumn("diff", kind).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n")
 
 
+def line_diff(a: DataFrame, b: DataFrame, limit: int = 5) -> DataFrame:
+    """First ``limit`` lines that differ between two texts (``artifact_id, text``) at one place, trimmed: changed, only_a or only_b.
+
+    Both texts meet in one row, so their lines are not shuffled.  A line that one side
+    lacks counts as empty: an empty line against none is no difference.
+    """
+    both = a.select("artifact_id", F.col("text").alias("__a")).join(b.select("artifact_id", F.col("text").alias("__b")), "artifact_id", "full")
+    cut = lambda c: F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(c, "\n"))
+    both = both.withColumns({"__x": F.transform(cut("__a"), trim_space), "__y": F.transform(cut("__b"), trim_space)})
+    zipped = F.transform(F.arrays_zip("__x", "__y"), lambda p, i: F.struct((i + 1).alias("line"), p["__x"].alias("line_a"), p["__y"].alias("line_b")))
+    found = F.slice(F.filter(zipped, lambda p: F.coalesce(p["line_a"], F.lit("")) != F.coalesce(p["line_b"], F.lit(""))), 1, limit)
+    kind = F.when(F.col("line_a").isNull(), "only_b").when(F.col("line_b").isNull(), "only_a").otherwise("changed")
+    return both.select("artifact_id", F.inline(found)).withColumn("diff", kind)
+
+
 def event_diff(log: DataFrame, a: str, b: str) -> DataFrame:
     """Two events, by id or hash, side by side; one row with the fields that differ.
 
@@ -241,24 +256,45 @@ def merged_branch(heads: DataFrame, source: str, target: str, strategy: str, man
     return t.join(s, "artifact_id").select("artifact_id", F.lit("merge").alias("type"), F.lit(target).alias("branch"), "parent_hash", F.lit(source).alias("merge_from_branch"), "merge_from_hash", F.lit(strategy).alias("merge_strategy"), chosen.alias("payload"))
 
 
+def merged_branches(heads: DataFrame, rollup: DataFrame, target: str, strategy: str, manual: Column | None = None) -> DataFrame:
+    """Merge rows of all open branches of a log into ``target``, one after the other by age and name, with their ``place``.
+
+    ``heads``: ``artifact_id, branch, hash, payload``; ``rollup``: ``artifact_id,
+    branch, created_at, merged_into``.  The first row's parent is the target's head, a
+    later one's the merge before it, named by its place.  Under ``ours`` every row keeps the target's
+    payload, under ``theirs`` each takes its branch's.  Logs with fewer than two open
+    branches, or without the target, have no row.
+    """
+    open_ = rollup.where("merged_into is null").select("artifact_id", "branch", "created_at")
+    enough = open_.groupBy("artifact_id").agg(F.count("*").alias("__n"), F.bool_or(F.col("branch") == target).alias("__t")).where("__n >= 2 and __t").select("artifact_id")
+    sources = open_.where(F.col("branch") != target).join(enough, "artifact_id", "left_semi").join(heads, ["artifact_id", "branch"])
+    into = heads.where(F.col("branch") == target).select("artifact_id", F.col("hash").alias("__head"), F.col("payload").alias("__ours"))
+    w = Window.partitionBy("artifact_id").orderBy("created_at", "branch")
+    chosen = {"ours": F.col("__ours"), "theirs": F.col("payload"), "manual": manual if manual is not None else F.lit(None).cast("string")}[strategy]
+    placed = sources.join(into, "artifact_id").withColumn("place", F.row_number().over(w))
+    parent = F.when(F.col("place") == 1, F.col("__head")).otherwise(F.concat(F.lit("merge:"), (F.col("place") - 1).cast("string")))
+    return placed.select("artifact_id", "place", F.lit("merge").alias("type"), F.lit(target).alias("branch"), parent.alias("parent_hash"), F.col("branch").alias("merge_from_branch"), F.col("hash").alias("merge_from_hash"), F.lit(strategy).alias("merge_strategy"), chosen.alias("payload"))
+
+
 # sequence algorithms, one pair of conversations a group
 
 
-def _supersequence(a: list[str], b: list[str]) -> list[str]:
-    """A shortest sequence that holds both; where either order is as short, the smaller item comes first.
+def merged_places(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
+    """Places in ``a`` and ``b`` (both for an item that they share) of the items of a shortest sequence that holds both.
 
-    Common ends are set aside.  The table of the rest is filled a row at a time in
-    numpy; of each cell only two bits stay: whether going on in ``a`` leaves a
-    longer common subsequence than going on in ``b``, and whether it is as long.
+    Where either order is as short, the smaller item comes first.  Common ends are
+    set aside.  The table of the rest is filled a row at a time in numpy; of each cell
+    only two bits stay: whether going on in ``a`` leaves a longer common subsequence
+    than going on in ``b``, and whether it is as long.
     """
-    head = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    out, a, b = a[:head], a[head:], b[head:]
-    end = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), min(len(a), len(b)))
-    rest, a, b = a[len(a) - end :], a[: len(a) - end], b[: len(b) - end]
-    n, m = len(a), len(b)
+    least = min(len(a), len(b))
+    head = next((i for i in range(least) if a[i] != b[i]), least)
+    end = next((i for i in range(least - head) if a[-1 - i] != b[-1 - i]), least - head)
+    n, m = len(a) - head - end, len(b) - head - end
+    x, y = a[head : head + n], b[head : head + m]
     if n and m:
-        number = {x: i for i, x in enumerate(sorted({*a, *b}))}
-        left, right = np.array([number[x] for x in a], np.int32), np.array([number[x] for x in b], np.int32)
+        number = {item: i for i, item in enumerate(sorted({*x, *y}))}
+        left, right = np.array([number[item] for item in x], np.int32), np.array([number[item] for item in y], np.int32)
         longer, even = np.zeros((n, (m + 7) // 8), np.uint8), np.zeros((n, (m + 7) // 8), np.uint8)
         below = np.zeros(m + 1, np.int32)
         for i in range(n - 1, -1, -1):
@@ -266,18 +302,23 @@ def _supersequence(a: list[str], b: list[str]) -> list[str]:
             row = np.maximum.accumulate(row[::-1])[::-1]
             longer[i], even[i] = np.packbits(below[:m] > row[1:]), np.packbits(below[:m] == row[1:])
             below = row
+    out: list[tuple[int | None, int | None]] = [(i, i) for i in range(head)]
     i = j = 0
     while i < n or j < m:
-        if i < n and j < m and a[i] == b[j]:
-            out.append(a[i])
+        if i < n and j < m and x[i] == y[j]:
+            out.append((head + i, head + j))
             i, j = i + 1, j + 1
-        elif j == m or (i < n and (longer[i, j >> 3] >> (7 - j & 7) & 1 or (even[i, j >> 3] >> (7 - j & 7) & 1 and a[i] <= b[j]))):
-            out.append(a[i])
+        elif j == m or (i < n and (longer[i, j >> 3] >> (7 - j & 7) & 1 or (even[i, j >> 3] >> (7 - j & 7) & 1 and x[i] <= y[j]))):
+            out.append((head + i, None))
             i += 1
         else:
-            out.append(b[j])
+            out.append((None, head + j))
             j += 1
-    return out + rest
+    return out + [(head + n + i, head + m + i) for i in range(end)]
+
+
+def _supersequence(a: list[str], b: list[str]) -> list[str]:
+    return [a[i] if i is not None else b[j] for i, j in merged_places(a, b)]
 
 
 def supersequences(pairs: DataFrame) -> DataFrame:
@@ -299,12 +340,16 @@ def supersequences(pairs: DataFrame) -> DataFrame:
 
 
 def thread_merge(pairs: DataFrame) -> DataFrame:
-    """``artifact_id, action, merged`` for two copies of a thread: keep, adopt, overlap or supersequence."""
+    """``artifact_id, action, merged`` for two copies ``a`` and ``b`` of a thread without provenance: keep, adopt, overlap, overlap_back or supersequence.
+
+    With provenance, ``threads.thread_decisions`` decides.
+    """
     a, b = F.col("a"), F.col("b")
-    overlap, back = suffix_prefix_overlap(a, b), suffix_prefix_overlap(b, a)
-    action = F.when((a == b) | is_prefix(b, a) | is_subsequence(b, a), "keep").when(is_prefix(a, b) | is_subsequence(a, b), "adopt").when(overlap > 0, "overlap").when(back > 0, "overlap_back").otherwise("supersequence")
-    made = pairs.withColumn("action", action)
-    simple = F.when(F.col("action") == "keep", a).when(F.col("action") == "adopt", b).when(F.col("action") == "overlap", F.concat(a, F.slice(b, overlap + 1, F.size(b)))).when(F.col("action") == "overlap_back", F.concat(b, F.slice(a, back + 1, F.size(a))))
+    kind = F.when((a == b) | is_prefix(b, a) | is_subsequence(b, a), "keep").when(is_prefix(a, b) | is_subsequence(a, b), "adopt")
+    made = pairs.withColumn("action", kind).withColumn("n", F.when(F.col("action").isNull(), F.struct(suffix_prefix_overlap(a, b).alias("on"), suffix_prefix_overlap(b, a).alias("back"))))
+    made = made.withColumn("action", F.coalesce("action", F.when(F.col("n.on") > 0, "overlap").when(F.col("n.back") > 0, "overlap_back").otherwise("supersequence")))
+    over = lambda x, y, n: F.concat(x, F.slice(y, n + 1, F.size(y)))
+    simple = F.when(F.col("action") == "keep", a).when(F.col("action") == "adopt", b).when(F.col("action") == "overlap", over(a, b, F.col("n.on"))).otherwise(over(b, a, F.col("n.back")))
     hard = made.where("action = 'supersequence'")
     return made.where("action <> 'supersequence'").select("artifact_id", "action", simple.alias("merged")).unionByName(supersequences(hard).select("artifact_id", F.lit("supersequence").alias("action"), "merged"))
 

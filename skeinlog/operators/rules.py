@@ -202,11 +202,19 @@ def route_rows(decided: DataFrame) -> DataFrame:
     return decided.select("artifact_id", F.explode("allowed_agents").alias("agent"))
 
 
-#: Presets: ready rules for common set-ups.
+# The five presets that a user may add; none is in force by itself.
 PRESETS = {
-    "all-to-all": Rule("all-to-all", agents=("*",)),
-    "fork-respects-origin": Rule("fork-respects-origin", {"branchName": "^(?!main$).+"}, (ORIGIN,)),
-    "private-stays-local": Rule("private-stays-local", {"tag": ["private"]}, remote="exclude"),
-    "pin-keeps-live": Rule("pin-keeps-live", {"tag": ["pinned"]}, mode="live"),
-    "strict-skills": Rule("strict-skills", {"type": ["skill"]}, skill_mode="strict"),
+    "default-all-to-all": Rule("default-all-to-all", {"kind": "any", "type": ["memory", "skill", "tool", "conversation"]}),
+    "fork-respects-origin": Rule("fork-respects-origin", {"tag": ["fork-of:*"]}, (ORIGIN,)),
+    "private-stays-local": Rule("private-stays-local", {"tag": ["private", "secret"]}, remote="exclude"),
+    "tool-secrets-default-local": Rule("tool-secrets-default-local", {"type": ["tool"]}, include_secrets=False),
+    "ephemeral-projects-stay-local": Rule("ephemeral-projects-stay-local", {"scope": {"kind": ["project"], "project": {"ephemeral": True}}}, remote="exclude"),
 }
+
+
+def with_presets(rules: list[Rule], names: list[str]) -> list[Rule]:
+    """``rules`` and the named presets that they lack, in the order of the names; ValueError for an unknown name."""
+    if unknown := set(names) - set(PRESETS):
+        raise ValueError(f"unknown presets: {sorted(unknown)}")
+    held = {r.name for r in rules}
+    return [*rules, *[PRESETS[n] for n in dict.fromkeys(names) if n not in held]]
