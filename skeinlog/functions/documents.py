@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 from skeinlog.functions.text import trim_space
 
-#: Tokens of allowed tools by dialect, canonical to native.
+# Tokens of allowed tools by agent, canonical to native.
 TOOL_PREFIX = "acf."
 DIALECTS = {
-    "patch": {"acf.exec": "bash", "acf.read": "read", "acf.write": "write", "acf.edit": "apply_patch", "acf.grep": "grep", "acf.todo": "todowrite", "acf.task": "task"},
-    "exec": {"acf.exec": "exec_command", "acf.read": "read", "acf.write": "write", "acf.edit": "apply_patch", "acf.web-search": "web_search"},
-    "none": {},
-}
+    "claude-code": {
+        "acf.exec": "Bash", "acf.read": "Read", "acf.write": "Write", "acf.edit": "Edit", "acf.grep": "Grep", "acf.glob": "Glob",
+        "acf.web-search": "WebSearch", "acf.web-fetch": "WebFetch", "acf.todo": "TodoWrite", "acf.task": "Task",
+    },
+    "codex": {"acf.exec": "exec_command", "acf.edit": "apply_patch", "acf.web-search": "web_search"},
+    "kilo": {"acf.exec": "bash", "acf.read": "read", "acf.write": "write", "acf.edit": "apply_patch", "acf.grep": "grep", "acf.todo": "todowrite", "acf.task": "task"},
+    "hermes": {"acf.exec": "exec_command", "acf.read": "read", "acf.write": "write", "acf.edit": "apply_patch", "acf.web-search": "web_search"},
+    "openclaw": {},
+}
 
 
 def _mapped_tools(content: Column, mapping: dict[str, str]) -> Column:

@@ -119,9 +119,9 @@ def test_json_redaction(spark):
 def test_documents(spark):
     skill = "---\nname: x\nallowed-tools: bash, read custom\n---\nbody\n"
     df = spark.createDataFrame([(skill,), ("no front",)], "c string")
-    once = df.select(D.normalized_tools(F.col("c"), "patch").alias("c"))
+    once = df.select(D.normalized_tools(F.col("c"), "kilo").alias("c"))
     assert once.first().c.split("\n")[2] == "allowed-tools: acf.exec, acf.read custom"
-    assert [r.c for r in once.select(D.denormalized_tools(F.col("c"), "patch").alias("c")).collect()] == [skill, "no front"]
+    assert [r.c for r in once.select(D.denormalized_tools(F.col("c"), "kilo").alias("c")).collect()] == [skill, "no front"]
     m = df.select(D.marked(F.col("c"), F.lit("id-1")).alias("c"))
     assert [tuple(r) for r in m.select(D.mark_of(F.col("c")), D.unmarked(F.col("c"))).collect()] == [("id-1", skill), ("id-1", "no front\n")]
     two = df.select(D.upserted_section(D.upserted_section(F.col("c"), "k", F.lit("T"), F.lit("old")), "k", F.lit("T"), F.lit("new")).alias("c"))
