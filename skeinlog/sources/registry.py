@@ -20,12 +20,17 @@ class Format:
     abilities: frozenset = field(default_factory=lambda: frozenset(["import"]))
 
 
+_BOTH = frozenset(["import", "export"])
+_PARTS = ("session_id", "message_id", "id", "role", "message_time", "time_created", "data")
 FORMATS: dict[str, Format] = {
-    "typed": Format(sessions.typed_sessions, sessions.encode_typed, abilities=frozenset(["import", "export"])),
-    "message": Format(sessions.message_sessions),
-    "rollout": Format(sessions.rollout_sessions, sessions.encode_rollout, abilities=frozenset(["import", "export"])),
-    "table": Format(sessions.table_sessions, needs=tuple(sessions.CORE_MESSAGE)),
-    "parts": Format(sessions.part_sessions, needs=("session_id", "message_id", "id", "role", "message_time", "time_created", "data")),
+    "typed": Format(sessions.typed_sessions, sessions.encode_typed, abilities=_BOTH),
+    "typed-portable": Format(sessions.typed_sessions, sessions.encode_typed_portable, abilities=_BOTH),
+    "message": Format(sessions.message_sessions, sessions.encode_messages, abilities=_BOTH),
+    "rollout": Format(sessions.rollout_sessions, sessions.encode_rollout, abilities=_BOTH),
+    "rollout-portable": Format(sessions.rollout_sessions, sessions.encode_rollout_portable, abilities=_BOTH),
+    "table": Format(sessions.table_sessions, sessions.encode_table, needs=tuple(sessions.CORE_MESSAGE), abilities=_BOTH),
+    "parts": Format(sessions.part_sessions, needs=_PARTS),
+    "part-export": Format(sessions.part_sessions, sessions.encode_parts, needs=_PARTS, abilities=_BOTH),
 }
 
 

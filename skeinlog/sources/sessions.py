@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 from skeinlog.functions.text import is_hidden_context, join_text_blocks, normalized_turn
 
+#: The engine's own key for the tags of an event in line formats that know none.
+TAGS_KEY = "skein_tags"
 EVENT_COLUMNS = ["session_id", "pos", "type", "ts", "role", "content", "call_id", "tool_name", "input", "is_error", "tags"]
 _EVENT = "struct<type:string,role:string,content:array<struct<type:string,text:string,data:string>>,call_id:string,tool_name:string,input:string,is_error:boolean,tags:array<string>>"
 _BLOCKS = "array<struct<type:string,text:string,data:string>>"
@@ -46,8 +48,14 @@ def _one(cond: Column, event: Column) -> Column:
 
 
 def _ordered(rows: DataFrame, events: Column) -> DataFrame:
-    """Explode ``events`` of rows with ``session_id, line_no, ts`` and number them through a session."""
-    out = rows.select("session_id", "line_no", "ts", F.posexplode(events).alias("__i", "__e")).select("session_id", "line_no", "ts", "__i", "__e.*")
+    """Explode ``events`` of rows with ``session_id, line_no, ts`` and number them through a session.
+
+    A row's ``ts_end`` is the time of its results, its ``tags`` those of its events without any.
+    """
+    end = F.col("ts_end") if "ts_end" in rows.columns else F.lit(None).cast("timestamp")
+    own = F.col("tags") if "tags" in rows.columns else F.lit(None).cast("array<string>")
+    out = rows.select("session_id", "line_no", "ts", end.alias("__end"), own.alias("__tags"), F.posexplode(events).alias("__i", "__e")).select("session_id", "line_no", "ts", "__end", "__tags", "__i", "__e.*")
+    out = out.withColumns({"ts": F.when(F.col("type") == "tool_result", F.coalesce("__end", "ts")).otherwise(F.col("ts")), "tags": F.when(F.size("tags") == 0, F.coalesce("__tags", "tags")).otherwise(F.col("tags"))})
     w = Window.partitionBy("session_id").orderBy("line_no", "__i")
     return out.withColumn("pos", F.row_number().over(w) - 1).select(*EVENT_COLUMNS)
 
@@ -123,7 +131,7 @@ def _typed(parsed: DataFrame) -> DataFrame:
     reply_turn = F.when(F.col("s").isNotNull(), F.array(_event("turn", F.lit("assistant"), _text_block(F.col("s"))))).otherwise(_one(F.size("ab") > 0, _event("turn", F.lit("assistant"), F.col("ab"))))
     note = _one(F.col("s").isNotNull() & ~is_hidden_context(F.coalesce("s", F.lit(""))), _event("system_note", content=_text_block(F.col("s"))))
     events = F.when(F.col("kind") == "user", F.concat(results, user_turn)).when((F.col("kind") == "assistant") & ~F.coalesce(F.col("model") == "<synthetic>", F.lit(False)), F.concat(reply_turn, calls)).when(F.col("kind") == "system", note).otherwise(none)
-    return _ordered(rows, events)
+    return _ordered(rows.withColumn("tags", _get("v", f"$.{TAGS_KEY}", "array<string>")), events)
 
 
 def message_sessions(lines: DataFrame) -> DataFrame:
@@ -132,7 +140,7 @@ def message_sessions(lines: DataFrame) -> DataFrame:
     role = _get("v", "$.message.role")
     swapped = F.when((_get("v", "$.type") == "message") & (F.coalesce(role, F.lit("")) != ""), role).otherwise(_get("v", "$.type"))
     content = _get("v", "$.message.content", "variant")
-    remade = F.to_json(F.struct(swapped.alias("type"), _get("v", "$.timestamp").alias("timestamp"), F.struct(_get("v", "$.message.model").alias("model"), content.alias("content")).alias("message"), _get("v", "$.content", "variant").alias("content")))
+    remade = F.to_json(F.struct(_get("v", f"$.{TAGS_KEY}", "array<string>").alias(TAGS_KEY), swapped.alias("type"), _get("v", "$.timestamp").alias("timestamp"), F.struct(_get("v", "$.message.model").alias("model"), content.alias("content")).alias("message"), _get("v", "$.content", "variant").alias("content")))
     return _typed(parsed.withColumn("v", F.try_parse_json(remade)))
 
 
@@ -147,7 +155,7 @@ def rollout_sessions(lines: DataFrame) -> DataFrame:
     rows = parsed.select(
         "session_id", "line_no", _time(_get("v", "$.timestamp")).alias("ts"), _get("v", "$.payload.type").alias("kind"), _get("v", "$.payload.role").alias("role"), _get("v", "$.payload.phase").alias("phase"),
         _get("v", "$.payload.content", p).alias("c"), _get("v", "$.payload.call_id").alias("call_id"), _get("v", "$.payload.name").alias("name"), _get("v", "$.payload.arguments", "variant").alias("arguments"),
-        _get("v", "$.payload.input", "variant").alias("input"), _get("v", "$.payload.action", "variant").alias("action"), _get("v", "$.payload.output", "variant").alias("output"),
+        _get("v", f"$.payload.{TAGS_KEY}", "array<string>").alias("tags"), _get("v", "$.payload.input", "variant").alias("input"), _get("v", "$.payload.action", "variant").alias("action"), _get("v", "$.payload.output", "variant").alias("output"),
     )
     none = F.array().cast(f"array<{_EVENT}>")
     empty = F.array().cast(_BLOCKS)
@@ -179,6 +187,8 @@ def rollout_sessions(lines: DataFrame) -> DataFrame:
 
 #: Columns that a message table must have; others are optional and read as null.
 CORE_MESSAGE = ["id", "session_id", "role", "content", "timestamp"]
+# Fixed value: what a message of several parts opens with.
+MULTI_MARK = "\x00json:"
 OPTIONAL_MESSAGE = {"tool_call_id": "string", "tool_calls": "string", "tool_name": "string", "reasoning": "string"}
 
 
@@ -215,7 +225,7 @@ def table_sessions(messages: DataFrame) -> DataFrame:
     w = Window.partitionBy("session_id").orderBy("timestamp", "id")
     m = m.withColumns({"line_no": F.row_number().over(w), "ts": from_epoch(F.col("timestamp")), "t": F.coalesce("content", F.lit(""))})
     none = F.array().cast(f"array<{_EVENT}>")
-    mark = "\x00json:"
+    mark = MULTI_MARK
     part = "array<struct<type:string,text:string,image_url:variant,source:variant>>"
     multi = F.startswith("t", F.lit(mark))
     payload = F.substr(F.col("t"), F.lit(len(mark) + 1))
@@ -236,34 +246,59 @@ def table_sessions(messages: DataFrame) -> DataFrame:
     return _ordered(m, events)
 
 
-CHECKPOINT_TAG = "internal:checkpoint"
+# Notes and tags of message parts that are no text or tool, as peers know them.
+CHECKPOINT_TAG = "internal-checkpoint"
+PART_TAG = "kilo:"
+STEP_STARTED, STEP_FINISHED, COMPACTED = "Kilo step started", "Kilo step finished", "Kilo compaction checkpoint"
+OTHER_PART = ("Kilo ", " part preserved as an internal checkpoint")
+MESSAGE_FAILED = "Kilo assistant message ended with an error"
+
+
+def updated_parts(sessions: DataFrame, messages: DataFrame, parts: DataFrame, since_ms: int) -> DataFrame:
+    """Rows for ``part_sessions`` of the sessions updated (or, without that, created) after a time in ms.
+
+    ``sessions``: ``id, time_created, time_updated``; ``messages``: ``id, session_id,
+    time_created, data``; ``parts``: ``id, session_id, message_id, time_created, data``.
+    A message without parts gives one row with null ``data`` and its own JSON in
+    ``message_data``.
+    """
+    fresh = sessions.where(F.coalesce("time_updated", "time_created", F.lit(0)) > since_ms).select(F.col("id").alias("session_id"))
+    said = messages.join(fresh, "session_id", "left_semi").select("session_id", F.col("id").alias("message_id"), F.get_json_object("data", "$.role").alias("role"), F.col("time_created").alias("message_time"), F.col("data").alias("message_data"))
+    held = parts.select("session_id", "message_id", "id", "time_created", "data")
+    return said.join(held, ["session_id", "message_id"], "left")
 
 
 def part_sessions(parts: DataFrame) -> DataFrame:
     """Parts of messages (``session_id, message_id, id, role, message_time, time_created, data`` JSON) to events.
 
-    Texts become turns; tools a call and, once they ended, a result; reasoning,
-    steps, compactions and unknown parts become tagged notes.
+    Texts become turns; tools a call and, once they ended, a result at the time of
+    their end; reasoning, steps, compactions and unknown parts become tagged notes.  A row
+    without a part gives a note if ``message_data`` says that an assistant's message failed.
     """
-    w = Window.partitionBy("session_id").orderBy("message_time", "message_id", "time_created", "id")
+    w = Window.partitionBy("session_id").orderBy("message_time", "message_id", "id")
     p = parts.withColumns({"line_no": F.row_number().over(w), "v": F.try_parse_json("data")})
     p = p.withColumns({"kind": F.coalesce(_get("v", "$.type"), F.lit("")), "text": F.coalesce(_get("v", "$.text"), F.lit("")), "status": _get("v", "$.state.status")})
-    start, end = _get("v", "$.state.time.start", "bigint"), _get("v", "$.state.time.end", "bigint")
-    ms = F.coalesce(F.nullif(start, F.lit(0).cast("long")), F.nullif(_get("v", "$.time.start", "bigint"), F.lit(0).cast("long")), F.col("time_created").cast("long"))
-    del end
-    p = p.withColumn("ts", F.when(ms != 0, F.timestamp_millis(ms)))
+    failed = F.lit(False)
+    if "message_data" in parts.columns:
+        error = F.get_json_object("message_data", "$.error")
+        failed = F.col("data").isNull() & (F.col("role") == "assistant") & error.isNotNull() & ~error.isin("", "null")
+    ms = lambda *paths: F.coalesce(*[F.nullif(_get("v", x, "bigint"), F.lit(0).cast("long")) for x in paths], F.nullif(F.col("time_created").cast("long"), F.lit(0).cast("long")), F.col("message_time").cast("long"))
+    start = F.when(F.col("kind") == "tool", ms("$.state.time.start", "$.time.start", "$.time.created")).when(F.col("kind") == "step-finish", ms("$.time.end", "$.time.created")).otherwise(ms("$.time.start", "$.time.created", "$.time.end"))
+    at = lambda m: F.when(m != 0, F.timestamp_millis(m))
+    p = p.withColumns({"ts": at(start), "ts_end": at(ms("$.state.time.end", "$.time.end", "$.time.created"))})
     call_id = F.coalesce(F.nullif(_get("v", "$.callID"), F.lit("")), F.col("id"))
-    ended = F.col("status").isin("completed", "error")
-    note = lambda text, tag: F.array(_event("system_note", content=_text_block(text), tags=F.array(tag, F.lit(CHECKPOINT_TAG))))
-    call = _event("tool_call", call_id=call_id, tool=F.coalesce(F.nullif(_get("v", "$.tool"), F.lit("")), F.lit("unknown")), given=F.coalesce(_raw(_get("v", "$.state.input", "variant")), F.lit("{}")), tags=F.when(~F.coalesce(ended, F.lit(False)), F.array(F.lit("tool-incomplete"), F.lit(CHECKPOINT_TAG))).otherwise(F.array().cast("array<string>")))
+    ended = F.coalesce(F.col("status").isin("completed", "error"), F.lit(False))
+    note = lambda text, tag: F.array(_event("system_note", content=_text_block(text), tags=F.array(F.concat(F.lit(PART_TAG), tag), F.lit(CHECKPOINT_TAG))))
+    none = F.array().cast(f"array<{_EVENT}>")
+    call = _event("tool_call", call_id=call_id, tool=F.coalesce(F.nullif(_get("v", "$.tool"), F.lit("")), F.lit("unknown")), given=F.coalesce(_raw(_get("v", "$.state.input", "variant")), F.lit("{}")), tags=F.when(~ended, F.array(F.lit(PART_TAG + "tool-incomplete"), F.lit(CHECKPOINT_TAG))).otherwise(F.array().cast("array<string>")))
     result = _event("tool_result", content=_text_block(F.coalesce(F.when(F.col("status") == "error", _get("v", "$.state.error")).otherwise(_get("v", "$.state.output")), F.lit(""))), call_id=call_id, error=F.col("status") == "error")
     reason = F.coalesce(_get("v", "$.reason"), F.lit(""))
-    shown = F.col("text") != ""
-    none = F.array().cast(f"array<{_EVENT}>")
-    events = F.when(F.col("kind") == "text", _one(shown, _event("turn", F.coalesce(F.nullif("role", F.lit("")), F.lit("assistant")), _text_block(F.col("text")))))
-    events = events.when(F.col("kind") == "reasoning", F.when(shown, note(F.col("text"), F.lit("reasoning"))).otherwise(none)).when(F.col("kind") == "tool", F.when(ended, F.array(call, result)).otherwise(F.array(call)))
-    events = events.when(F.col("kind") == "step-start", note(F.lit("step started"), F.col("kind"))).when(F.col("kind") == "step-finish", note(F.when(reason == "", "step finished").otherwise(F.concat(F.lit("step finished: "), reason)), F.col("kind")))
-    events = events.when(F.col("kind") == "compaction", note(F.lit("compaction checkpoint"), F.col("kind"))).otherwise(note(F.concat(F.col("kind"), F.lit(" part preserved as an internal checkpoint")), F.when(F.col("kind") == "", "unknown-part").otherwise(F.col("kind"))))
+    shown, kind = F.col("text") != "", F.col("kind")
+    events = F.when(failed, note(F.lit(MESSAGE_FAILED), F.lit("error"))).when(F.col("data").isNull(), none)
+    events = events.when(kind == "text", _one(shown, _event("turn", F.coalesce(F.nullif("role", F.lit("")), F.lit("assistant")), _text_block(F.col("text")))))
+    events = events.when(kind == "reasoning", F.when(shown, note(F.col("text"), kind)).otherwise(none)).when(kind == "tool", F.when(ended, F.array(call, result)).otherwise(F.array(call)))
+    events = events.when(kind == "step-start", note(F.lit(STEP_STARTED), kind)).when(kind == "step-finish", note(F.concat(F.lit(STEP_FINISHED), F.when(reason == "", "").otherwise(F.concat(F.lit(": "), reason))), kind))
+    events = events.when(kind == "compaction", note(F.lit(COMPACTED), kind)).otherwise(note(F.concat(F.lit(OTHER_PART[0]), kind, F.lit(OTHER_PART[1])), F.when(kind == "", "unknown-part").otherwise(kind)))
     return _ordered(p, events)
 
 
@@ -274,32 +309,154 @@ def bundle_turns(bundles: DataFrame) -> DataFrame:
     return turns.where("text is not null")
 
 
-# encoders: canonical events back to lines (visible turns, and calls with their results)
+# encoders: canonical events back to lines and rows
+
+
+_ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+
+
+def _at() -> Column:
+    return F.date_format("ts", _ISO)
+
+
+def _tags() -> Column:
+    """An event's tags; null if it has none, so that JSON leaves them out."""
+    return F.when(F.size("tags") > 0, F.col("tags"))
+
+
+def _source(data: Column) -> Column:
+    """What an image block holds as a source: its own JSON, an address, or bytes in base64."""
+    held = F.when(F.startswith(F.trim(data), F.lit("{")), F.try_parse_json(data))
+    url = F.to_variant_object(F.struct(F.lit("url").alias("type"), data.alias("url")))
+    raw = F.to_variant_object(F.struct(F.lit("base64").alias("type"), data.alias("data")))
+    return F.coalesce(held, F.when(F.rlike(data, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), url).otherwise(raw))
+
+
+def _lines(events: DataFrame, line: Column) -> DataFrame:
+    return events.select("session_id", F.col("pos").alias("line_no"), line.alias("line")).where("line is not null")
 
 
 def encode_typed(events: DataFrame) -> DataFrame:
-    """Canonical events as lines that ``typed_sessions`` reads back."""
-    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    """Canonical events as lines that ``typed_sessions`` reads back, with images, thoughts and tags."""
     text = join_text_blocks(F.col("content"))
-    turn = F.to_json(F.struct(F.col("role").alias("type"), at.alias("timestamp"), F.struct(F.col("role").alias("role"), text.alias("content")).alias("message")))
-    call = F.to_json(F.struct(F.lit("assistant").alias("type"), at.alias("timestamp"), F.struct(F.array(F.struct(F.lit("tool_use").alias("type"), F.col("call_id").alias("id"), F.col("tool_name").alias("name"), F.try_parse_json("input").alias("input"))).alias("content")).alias("message")))
-    result = F.to_json(F.struct(F.lit("user").alias("type"), at.alias("timestamp"), F.struct(F.array(F.struct(F.lit("tool_result").alias("type"), F.col("call_id").alias("tool_use_id"), text.alias("content"), F.col("is_error").alias("is_error"))).alias("content")).alias("message")))
-    note = F.to_json(F.struct(F.lit("system").alias("type"), at.alias("timestamp"), text.alias("content")))
-    line = F.when(F.col("type") == "turn", turn).when(F.col("type") == "tool_call", call).when(F.col("type") == "tool_result", result).when(F.col("type") == "system_note", note)
-    return events.select("session_id", F.col("pos").alias("line_no"), line.alias("line")).where("line is not null")
+    plain = F.forall("content", lambda b: b["type"] == "text")
+
+    def block(b):
+        none = F.lit(None)
+        return F.struct(
+            F.coalesce(b["type"], F.lit("text")).alias("type"), F.when(b["type"] == "text", b["text"]).otherwise(none.cast("string")).alias("text"), F.when(b["type"] == "thinking", b["text"]).otherwise(none.cast("string")).alias("thinking"),
+            F.when(b["type"] == "image", _source(b["data"])).alias("source"),
+        )
+
+    wrap = lambda kind, content: F.to_json(F.struct(kind.alias("type"), _at().alias("timestamp"), F.struct(content.alias("content")).alias("message"), _tags().alias(TAGS_KEY)))
+    turn = F.when(plain, wrap(F.col("role"), text)).otherwise(wrap(F.col("role"), F.transform("content", block)))
+    call = wrap(F.lit("assistant"), F.array(F.struct(F.lit("tool_use").alias("type"), F.col("call_id").alias("id"), F.col("tool_name").alias("name"), F.try_parse_json("input").alias("input"))))
+    result = wrap(F.lit("user"), F.array(F.struct(F.lit("tool_result").alias("type"), F.col("call_id").alias("tool_use_id"), text.alias("content"), F.col("is_error").alias("is_error"))))
+    note = F.to_json(F.struct(F.lit("system").alias("type"), _at().alias("timestamp"), text.alias("content"), _tags().alias(TAGS_KEY)))
+    return _lines(events, F.when(F.col("type") == "turn", turn).when(F.col("type") == "tool_call", call).when(F.col("type") == "tool_result", result).when(F.col("type") == "system_note", note))
 
 
 def encode_rollout(events: DataFrame) -> DataFrame:
-    """Canonical events as lines that ``rollout_sessions`` reads back; notes are left out."""
-    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    """Canonical events as lines that ``rollout_sessions`` reads back, with images and tags; notes become developer messages, which it leaves out."""
     text = join_text_blocks(F.col("content"))
-    wrap = lambda payload: F.to_json(F.struct(at.alias("timestamp"), F.lit("response_item").alias("type"), payload.alias("payload")))
-    block = F.array(F.struct(F.when(F.col("role") == "user", "input_text").otherwise("output_text").alias("type"), text.alias("text")))
-    turn = wrap(F.struct(F.lit("message").alias("type"), F.col("role").alias("role"), block.alias("content")))
-    call = wrap(F.struct(F.lit("function_call").alias("type"), F.col("call_id").alias("call_id"), F.col("tool_name").alias("name"), F.col("input").alias("arguments")))
-    result = wrap(F.struct(F.lit("function_call_output").alias("type"), F.col("call_id").alias("call_id"), text.alias("output")))
-    line = F.when(F.col("type") == "turn", turn).when(F.col("type") == "tool_call", call).when(F.col("type") == "tool_result", result)
-    return events.select("session_id", F.col("pos").alias("line_no"), line.alias("line")).where("line is not null")
+    said = F.when(F.col("role") == "assistant", "output_text").otherwise("input_text")
+    wrap = lambda payload: F.to_json(F.struct(_at().alias("timestamp"), F.lit("response_item").alias("type"), payload.alias("payload")))
+    tags = _tags().alias(TAGS_KEY)
+    none = F.lit(None).cast("string")
+    block = lambda b: F.struct(F.when(b["type"] == "image", "input_image").otherwise(said).alias("type"), F.when(b["type"] == "image", none).otherwise(b["text"]).alias("text"), F.when(b["type"] == "image", b["data"]).alias("image_url"))
+    blocks = F.transform(F.filter("content", lambda b: b["type"].isin("text", "image")), block)
+    one = F.array(F.struct(said.alias("type"), text.alias("text"), none.alias("image_url")))
+    plain = F.forall("content", lambda b: b["type"] != "image")
+    message = lambda role, content: wrap(F.struct(F.lit("message").alias("type"), role.alias("role"), content.alias("content"), tags))
+    role = F.when(F.col("role").isin("user", "assistant", "system"), F.col("role")).otherwise("user")
+    turn = F.when(plain, message(role, one)).otherwise(message(role, blocks))
+    call = wrap(F.struct(F.lit("function_call").alias("type"), F.col("call_id").alias("call_id"), F.col("tool_name").alias("name"), F.col("input").alias("arguments"), tags))
+    result = wrap(F.struct(F.lit("function_call_output").alias("type"), F.col("call_id").alias("call_id"), text.alias("output"), tags))
+    note = message(F.lit("developer"), F.array(F.struct(F.lit("input_text").alias("type"), text.alias("text"), none.alias("image_url"))))
+    return _lines(events, F.when(F.col("type") == "turn", turn).when(F.col("type") == "tool_call", call).when(F.col("type") == "tool_result", result).when(F.col("type") == "system_note", note))
+
+
+def encode_table(events: DataFrame) -> DataFrame:
+    """Canonical events as message rows that ``table_sessions`` reads back.
+
+    Calls are assistant rows without a text and with a JSON list; images go as a marked JSON list of parts.
+    User turns that no person wrote are left out.
+    """
+    text = join_text_blocks(F.col("content"))
+    part = lambda b: F.struct(F.when(b["type"] == "image", "image_url").otherwise("text").alias("type"), F.when(b["type"] != "image", b["text"]).alias("text"), F.when(b["type"] == "image", F.struct(b["data"].alias("url"))).alias("image_url"))
+    multi = F.concat(F.lit(MULTI_MARK), F.to_json(F.transform("content", part)))
+    body = F.when(F.exists("content", lambda b: b["type"] == "image"), multi).when((F.col("type") == "turn") & (F.col("role") == "user"), normalized_turn(F.lit("user"), text)).otherwise(text)
+    role = F.when(F.col("type") == "tool_call", "assistant").when(F.col("type") == "tool_result", "tool").when(F.col("type") == "system_note", "system").when(F.col("role").isin("user", "assistant", "system"), F.col("role")).otherwise("user")
+    calls = F.to_json(F.array(F.struct(F.col("call_id").alias("id"), F.lit("function").alias("type"), F.struct(F.col("tool_name").alias("name"), F.coalesce("input", F.lit("")).alias("arguments")).alias("function"))))
+    rows = events.where(F.col("type").isin("turn", "tool_call", "tool_result", "system_note")).select(
+        "session_id", F.col("pos").alias("id"), role.alias("role"), F.when(F.col("type") == "tool_call", "").otherwise(body).alias("content"), F.coalesce(F.unix_micros("ts") / 1_000_000, F.lit(0.0)).alias("timestamp"),
+        F.when(F.col("type") == "tool_result", F.col("call_id")).alias("tool_call_id"), F.when(F.col("type") == "tool_call", calls).alias("tool_calls"), F.when(F.col("type") == "tool_call", F.col("tool_name")).alias("tool_name"),
+    )
+    return rows.where("content is not null")
+
+
+def table_headers(rows: DataFrame, origin: str = "") -> DataFrame:
+    """Session rows of ``encode_table``'s rows: start, end, number of messages, and a title from the first user message."""
+    first = F.min_by("content", F.when((F.col("role") == "user") & ~F.startswith("content", F.lit(MULTI_MARK)), F.col("id")))
+    made = rows.groupBy(F.col("session_id").alias("id")).agg(F.min_by("timestamp", "id").alias("started_at"), F.nullif(F.max_by("timestamp", "id"), F.lit(0.0)).alias("ended_at"), F.count("*").alias("message_count"), first.alias("__first"))
+    line = F.trim(F.element_at(F.split("__first", "\n"), 1))
+    return made.withColumn("title", F.concat(F.lit(f"↪ {origin}: " if origin else ""), line)).drop("__first")
+
+
+def _portable(events: DataFrame) -> DataFrame:
+    """Visible turns with their place ``k``, time and session, for formats that carry nothing else."""
+    t = events.where("type = 'turn' and role in ('user', 'assistant')").select("session_id", "pos", "ts", "role", normalized_turn(F.col("role"), join_text_blocks(F.col("content"))).alias("text")).where("text is not null")
+    return t.withColumn("k", (F.row_number().over(Window.partitionBy("session_id").orderBy("pos")) - 1).cast("int"))
+
+
+def _named(prefix: str, k: Column) -> Column:
+    """Id of a session's ``k``-th message: the same each time the session is written."""
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.col("session_id"), 256), 1, 12), F.lit("-"), F.lpad(k.cast("string"), 6, "0"))
+
+
+def encode_messages(events: DataFrame, agent: str = "") -> DataFrame:
+    """Visible turns as lines that ``message_sessions`` reads back: a header, then messages, each naming the one before it."""
+    t = _portable(events)
+    head = t.groupBy("session_id").agg(F.min("ts").alias("ts")).select("session_id", F.lit(-1).alias("line_no"), F.to_json(F.struct(F.lit("session").alias("type"), _named("s", F.lit(0)).alias("id"), _at().alias("timestamp"), F.col("session_id").alias("skein_thread"))).alias("line"))
+    k = F.col("k")
+    names = [_named("m", k).alias("id"), F.when(k > 0, _named("m", k - 1)).alias("parentId"), _at().alias("timestamp")]
+    user = F.to_json(F.struct(F.lit("message").alias("type"), *names, F.struct(F.col("role"), F.col("text").alias("content")).alias("message")))
+    reply = F.to_json(F.struct(F.lit("message").alias("type"), *names, F.struct(F.col("role"), F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content"), F.lit(agent).alias("model"), F.lit("stop").alias("stopReason")).alias("message")))
+    return head.unionByName(t.select("session_id", k.alias("line_no"), F.when(F.col("role") == "user", user).otherwise(reply).alias("line")))
+
+
+def encode_parts(events: DataFrame) -> DataFrame:
+    """Visible turns as part rows that ``part_sessions`` reads back; ``parent_id`` is the question that an answer follows.
+
+    A session that opens with an answer gets an empty question to hang it on.
+    """
+    t = _portable(events)
+    ms = F.coalesce(F.unix_millis("ts"), F.lit(0))
+    last = F.max(F.when(F.col("role") == "user", F.col("k"))).over(Window.partitionBy("session_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+    rows = t.withColumn("__up", F.when(F.col("role") == "assistant", F.coalesce(last, F.lit(-1))))
+    made = rows.select(
+        "session_id", _named("m", F.col("k")).alias("message_id"), _named("p", F.col("k")).alias("id"), F.col("role"), (ms + F.col("k")).alias("message_time"), (ms + F.col("k")).alias("time_created"),
+        F.to_json(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("data"), F.when(F.col("__up") >= 0, _named("m", F.col("__up"))).when(F.col("__up") < 0, _named("r", F.lit(0))).alias("parent_id"),
+    )
+    root = rows.where("k = 0 and role = 'assistant'").select(
+        "session_id", _named("r", F.lit(0)).alias("message_id"), _named("q", F.lit(0)).alias("id"), F.lit("user").alias("role"), (ms - 1).alias("message_time"), (ms - 1).alias("time_created"), F.to_json(F.struct(F.lit("text").alias("type"), F.lit("").alias("text"))).alias("data"), F.lit(None).cast("string").alias("parent_id")
+    )
+    return made.unionByName(root)
+
+
+def encode_typed_portable(events: DataFrame) -> DataFrame:
+    """Visible turns as typed lines with ids, each naming the one before it: what another program may resume."""
+    t, k = _portable(events), F.col("k")
+    row = F.struct(F.col("role").alias("type"), _named("u", k).alias("uuid"), F.when(k > 0, _named("u", k - 1)).alias("parentUuid"), F.col("session_id").alias("sessionId"), _at().alias("timestamp"), F.struct(F.col("role"), F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content")).alias("message"))
+    return t.select("session_id", k.alias("line_no"), F.to_json(row).alias("line"))
+
+
+def encode_rollout_portable(events: DataFrame) -> DataFrame:
+    """Visible turns as rollout lines after a line that describes the session."""
+    t = _portable(events)
+    meta = t.groupBy("session_id").agg(F.min("ts").alias("ts")).select("session_id", F.lit(-1).alias("line_no"), F.to_json(F.struct(_at().alias("timestamp"), F.lit("session_meta").alias("type"), F.struct(F.col("session_id").alias("id"), _at().alias("timestamp")).alias("payload"))).alias("line"))
+    as_events = t.select("session_id", F.col("k").alias("pos"), F.lit("turn").alias("type"), "ts", "role", _text_block(F.col("text")).cast(_BLOCKS).alias("content"), F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("string").alias("tool_name"), F.lit(None).cast("string").alias("input"), F.lit(False).alias("is_error"), F.array().cast("array<string>").alias("tags"))
+    return meta.unionByName(encode_rollout(as_events))
 
 
 def text_turns(events: DataFrame) -> DataFrame:

@@ -127,8 +127,8 @@ def test_part_sessions(spark):
         ("tool_call", None, [], "k"),
         ("tool_result", None, [("text", "o")], "k"),
         ("tool_call", None, [], "p3"),
-        ("system_note", None, [("text", "step finished: stop")], None),
-        ("system_note", None, [("text", "odd part preserved as an internal checkpoint")], None),
+        ("system_note", None, [("text", "Kilo step finished: stop")], None),
+        ("system_note", None, [("text", "Kilo odd part preserved as an internal checkpoint")], None),
     ]
 
 
