@@ -9,15 +9,15 @@ from skeinlog.functions import constants as C
 from skeinlog.functions import text as X
 from skeinlog.operators import metrics as S
 from skeinlog.operators import retention as R
-from skeinlog.operators.rules import Rule, decide, retroactive_tags, route_rows
+from skeinlog.operators.rules import PRESETS, Rule, decide, retroactive_tags, route_rows, with_presets
 from skeinlog.plans.model import artifacts, log_events
 from skeinlog.plans.registry import query
 from skeinlog.session import load_table
 
 AGENTS = ["src1", "src2", "src3", "src4"]
 RULES = [
-    Rule("all", agents=("*",), mode="manual"),
-    Rule("private", {"tag": ["private"]}, ("!src2", "!src3"), remote="exclude", assign_tags=("local-only",)),
+    Rule("all", agents=("*",), mode="manual", include_secrets=True, depth={"src1": 10, "src4": 4}),
+    Rule("private", {"tag": ["private"]}, ("!src2", "!src3"), remote="exclude", assign_tags=("local-only",), include_secrets=False, depth={"src1": 2}),
     Rule("pinned", {"tag": ["pin*"]}, mode="scheduled", interval=60, skill_mode="strict"),
     Rule("origin", {"agentSource": ["src1", "src2"], "kind": "any"}, ("__originatingAgent__",), assign_tags=("from-origin", "device:x")),
     Rule("off", {"tag": ["en"]}, ("!*",), enabled=False),
@@ -27,7 +27,7 @@ _DECIDED = f"""a AS (SELECT d.doc_id AS artifact_id, source, {_TAGS} AS tags FRO
 m AS (SELECT *, list_contains(tags, 'private') AS p, list_contains(tags, 'pinned') AS q, source IN ('src1', 'src2') AS o FROM a),
 d AS (SELECT artifact_id, tags, CASE WHEN p THEN ['src1', 'src4'] ELSE ['src1', 'src2', 'src3', 'src4'] END AS allowed, CASE WHEN p THEN ['src2', 'src3'] ELSE [] END AS denied,
 list_sort(list_distinct(tags || CASE WHEN p THEN ['local-only'] ELSE [] END || CASE WHEN o THEN ['from-origin', 'device:x'] ELSE [] END)) AS assigned, NOT p AS remote_allowed,
-CASE WHEN q THEN 'strict' ELSE 'lossy' END AS skill_mode, CASE WHEN q THEN 'scheduled' ELSE 'manual' END AS mode, CASE WHEN q THEN 60 ELSE 0 END AS interval_seconds,
+CASE WHEN q THEN 'strict' ELSE 'lossy' END AS skill_mode, CASE WHEN q THEN 'scheduled' ELSE 'manual' END AS mode, CASE WHEN q THEN 60 ELSE 0 END AS interval_seconds, NOT p AS include_secrets, CASE WHEN p THEN 'src1=2,src4=4' ELSE 'src1=10,src4=4' END AS historical_depth,
 ['all'] || CASE WHEN p THEN ['private'] ELSE [] END || CASE WHEN q THEN ['pinned'] ELSE [] END || CASE WHEN o THEN ['origin'] ELSE [] END AS matched FROM m)"""
 
 
@@ -37,12 +37,30 @@ def _decided(spark, sf_dir):
 
 @query(
     "rules_decision",
-    f"WITH {_DECIDED} SELECT artifact_id, array_to_string(allowed, ',') AS allowed_agents, array_to_string(denied, ',') AS denied_agents, array_to_string(assigned, ',') AS assigned_tags, remote_allowed, skill_mode, mode, interval_seconds, array_to_string(matched, ',') AS matched_rules FROM d",
+    f"WITH {_DECIDED} SELECT artifact_id, array_to_string(allowed, ',') AS allowed_agents, array_to_string(denied, ',') AS denied_agents, array_to_string(assigned, ',') AS assigned_tags, remote_allowed, skill_mode, mode, interval_seconds, include_secrets, historical_depth, array_to_string(matched, ',') AS matched_rules FROM d",
 )
 def rules_decision(spark, sf_dir):
     d = _decided(spark, sf_dir)
     joined = [F.array_join(c, ",").alias(c) for c in ("allowed_agents", "denied_agents", "assigned_tags", "matched_rules")]
-    return d.select("artifact_id", *joined, "remote_allowed", "skill_mode", "mode", "interval_seconds")
+    depth = F.array_join(F.array_sort(F.transform(F.map_entries("historical_depth"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",")
+    return d.select("artifact_id", *joined, "remote_allowed", "skill_mode", "mode", "interval_seconds", "include_secrets", depth.alias("historical_depth"))
+
+
+@query(
+    "rules_presets",
+    f"""WITH a AS (SELECT d.doc_id AS artifact_id, source, CASE doc_id % 3 WHEN 0 THEN 'memory' WHEN 1 THEN 'tool' ELSE 'conversation' END AS type, doc_id % 5 = 0 AS forked, doc_id % 7 = 0 AS private, doc_id % 11 = 0 AS ephemeral FROM documents d)
+SELECT artifact_id, 'src1,src2,src3,src4' AS allowed_agents, NOT (private OR ephemeral) AS remote_allowed, CASE WHEN type = 'tool' THEN false END AS include_secrets,
+array_to_string(list_filter(['default-all-to-all', CASE WHEN forked THEN 'fork-respects-origin' END, CASE WHEN private THEN 'private-stays-local' END, CASE WHEN type = 'tool' THEN 'tool-secrets-default-local' END, CASE WHEN ephemeral THEN 'ephemeral-projects-stay-local' END], lambda x: x IS NOT NULL), ',') AS matched_rules FROM a""",
+)
+def rules_presets(spark, sf_dir):
+    """The five presets over artifacts of three types, some forked, private or of passing projects."""
+    doc = F.col("doc_id")
+    tags = F.array_compact(F.array(F.when(doc % 5 == 0, "fork-of:x"), F.when(doc % 7 == 0, "private")))
+    a = load_table(spark, sf_dir, "documents").select(
+        doc.alias("artifact_id"), tags.alias("tags"), F.when(doc % 3 == 0, "memory").when(doc % 3 == 1, "tool").otherwise("conversation").alias("type"), F.col("source").alias("origin_agent"), F.lit("project").alias("scope_kind"), (doc % 11 == 0).alias("project_ephemeral")
+    )
+    d = decide(a, with_presets([], list(PRESETS)), AGENTS)
+    return d.select("artifact_id", F.array_join("allowed_agents", ",").alias("allowed_agents"), "remote_allowed", "include_secrets", F.array_join("matched_rules", ",").alias("matched_rules"))
 
 
 @query("rules_routes", f"WITH {_DECIDED} SELECT artifact_id, unnest(allowed) AS agent FROM d")

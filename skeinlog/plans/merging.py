@@ -263,3 +263,31 @@ def best_copies(spark, sf_dir):
     e = log_events(spark, sf_dir)
     scored = e.select("artifact_id", "event_id", (F.length("payload") % 3).alias("role_violations"), (F.col("event_id") % 2).alias("time_reversals"), (F.col("event_id") % 5).alias("cohort_turns"), F.concat("payload", F.col("event_id").cast("string")).alias("json"))
     return M.best_candidate(scored).select("artifact_id", "event_id")
+
+
+@query(
+    "line_diff",
+    r"""WITH a AS (SELECT doc_id AS artifact_id, coalesce(text, '') AS t FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id - 1 AS artifact_id, coalesce(text, '') AS t FROM documents WHERE doc_id % 2 = 1),
+p AS (SELECT coalesce(a.artifact_id, b.artifact_id) AS artifact_id, CASE WHEN coalesce(a.t, '') = '' THEN [] ELSE string_split(a.t, chr(10)) END AS x, CASE WHEN coalesce(b.t, '') = '' THEN [] ELSE string_split(b.t, chr(10)) END AS y FROM a FULL JOIN b ON a.artifact_id = b.artifact_id),
+l AS (SELECT artifact_id, unnest(range(1, greatest(len(x), len(y)) + 1)) AS line, x, y FROM p),
+z AS (SELECT artifact_id, line::INTEGER AS line, regexp_replace(x[line], '^\s+|\s+$', '', 'g') AS la, regexp_replace(y[line], '^\s+|\s+$', '', 'g') AS lb FROM l)
+SELECT artifact_id, line, md5(la) AS line_a, md5(lb) AS line_b, CASE WHEN la IS NULL THEN 'only_b' WHEN lb IS NULL THEN 'only_a' ELSE 'changed' END AS diff FROM z WHERE coalesce(la, '') <> coalesce(lb, '') QUALIFY row_number() OVER (PARTITION BY artifact_id ORDER BY line) <= 5""",
+)
+def line_diff(spark, sf_dir):
+    """Lines of each even document against those of the odd one after it."""
+    docs = artifacts(spark, sf_dir).select("artifact_id", "text")
+    odd = docs.where("artifact_id % 2 = 1").withColumn("artifact_id", F.col("artifact_id") - 1)
+    return M.line_diff(docs.where("artifact_id % 2 = 0"), odd).select("artifact_id", "line", F.md5("line_a").alias("line_a"), F.md5("line_b").alias("line_b"), "diff")
+
+
+@query(
+    "branch_merges_all",
+    "WITH h AS (SELECT user_id AS artifact_id, event_type AS branch, max(event_id)::VARCHAR AS hash, arg_max(props, event_id) AS payload, min(ts) AS created_at FROM events WHERE event_type <> 'signup' GROUP BY 1, 2), n AS (SELECT artifact_id FROM h GROUP BY 1 HAVING count(*) >= 2 AND bool_or(branch = 'view')), p AS (SELECT h.*, t.hash AS head, row_number() OVER (PARTITION BY h.artifact_id ORDER BY h.created_at, h.branch) AS place FROM h JOIN n USING (artifact_id) JOIN h t ON t.artifact_id = h.artifact_id AND t.branch = 'view' WHERE h.branch <> 'view') SELECT artifact_id, place::INTEGER AS place, CASE WHEN place = 1 THEN head ELSE 'merge:' || (place - 1) END AS parent_hash, branch AS merge_from_branch, hash AS merge_from_hash, payload FROM p",
+)
+def branch_merges_all(spark, sf_dir):
+    """All open branches merged into views, one after the other; sign-ups were merged before."""
+    e = log_events(spark, sf_dir)
+    grouped = e.groupBy("artifact_id", F.col("type").alias("branch")).agg(F.max("event_id").cast("string").alias("hash"), F.max_by("payload", "event_id").alias("payload"), F.min("ts").alias("created_at"))
+    rollup = grouped.select("artifact_id", "branch", "created_at", F.when(F.col("branch") == "signup", "view").alias("merged_into"))
+    made = M.merged_branches(grouped.select("artifact_id", "branch", "hash", "payload"), rollup, "view", "theirs")
+    return made.select("artifact_id", "place", "parent_hash", "merge_from_branch", "merge_from_hash", "payload")
