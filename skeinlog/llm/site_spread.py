@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinlog.llm.common import whole
-from skeinlog.session import checkpointed
+from skeinlog.session import checkpointed, removed, shared_folder, written
 
 SPACES = " \t\n\x0b\f\r"
 
@@ -74,9 +74,8 @@ def spread(found: DataFrame, threshold: int, lg_k: int = 12) -> DataFrame:
     return counted.where(F.col("n_sites") >= threshold).select("__key", "n_sites", "__first")
 
 
-def removals(df: DataFrame, threshold: int, text: str = "text", doc: str = "doc_id", site: str = "source", min_words: int = 3) -> DataFrame:
-    """For each row key the positions that go, in order; rows that keep all their lines are absent."""
-    found = lines(df, text, doc, site, min_words)
+def removals(found: DataFrame, threshold: int) -> DataFrame:
+    """For each row key of ``lines`` the positions that go, in order; rows that keep all their lines are absent."""
     spread_lines = _small(spread(found, threshold))
     place = F.struct("__doc", "__th", "__pos")
     gone = found.join(spread_lines.select("__key", "__first"), "__key").where(~place.eqNullSafe(F.col("__first")))
@@ -86,15 +85,26 @@ def removals(df: DataFrame, threshold: int, text: str = "text", doc: str = "doc_
 def without_boilerplate(df: DataFrame, threshold: int = 10, text: str = "text", doc: str = "doc_id", site: str = "source", min_words: int = 3) -> DataFrame:
     """The rows of ``df`` with ``__kept_text`` (boilerplate gone), ``__n_gone`` and ``__n_lines``.
 
-    Null and empty texts stay as they are.  Line order, empty lines and short
-    lines stay.  Equal rows (same id and text) are one document here: all keep
-    or lose the same places.  An empty table gives an empty one.
+    Texts are cut into lines and hashed once, into a narrow table of keys, sites and
+    places in the shared folder; counts, exact counts and removals read that, and
+    the texts are read once more to take lines out.  Null and empty texts stay as
+    they are.  Line order, empty lines and short lines stay.  Equal rows (same id and
+    text) are one document here: all keep or lose the same places.  An empty table
+    gives an empty one.
     """
-    gone = _small(removals(df, threshold, text, doc, site, min_words), 1 + F.size("__gone") / 8).withColumnsRenamed({"__doc": "__gdoc", "__th": "__gth"})
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    try:
+        found = written(lines(df, text, doc, site, min_words), folder)
+        gone = _small(removals(found, threshold), 1 + F.size("__gone") / 8).withColumnsRenamed({"__doc": "__gdoc", "__th": "__gth"})
+    finally:
+        removed(spark, folder)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *row_key(df, text, doc), F.col(f"`{text}`").cast("string").alias("__text"))
     joined = rows.join(gone, rows["__doc"].eqNullSafe(gone["__gdoc"]) & (rows["__th"] == gone["__gth"]), "left")
     split = F.split(F.col("__text"), "\n")
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    # the lines are named in a lambda, so that they are cut once and not at every place
+    stay = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__gone")), lambda i: F.get(ls, i))
+    kept = F.array_join(F.get(F.transform(F.array(split), stay), F.lit(0)), "\n")
     return joined.select(
         *[F.col("__row").getField(c).alias(c) for c in df.columns],
         F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(kept).alias("__kept_text"),
