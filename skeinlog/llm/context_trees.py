@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skeinlog.llm.common import map_text
+from skeinlog.session import checkpointed
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes before a text; contexts at its start see them.
@@ -166,25 +167,46 @@ def fit(samples: dict[str, list[bytes]], order: int = 3) -> Model:
     return Model(langs, order, symbols, escapes)
 
 
+#: Bytes of training text that come to the driver, at most; a longer sample is an error.
+SAMPLE_BYTES = 256 << 20
+
+
 def training_rows(df: DataFrame, per_lang: int, text: str = "text", doc: str = "doc_id", lang: str = "lang", remainder: int = 2) -> DataFrame:
-    """At most ``per_lang`` labelled rows of each language outside the held-out quarter, by a hash of the id.
+    """At most ``per_lang`` labelled rows of each language outside the held-out quarter, those with the lowest hashes of their ids.
 
-    The ids are chosen from two narrow columns; a partition keeps no more than
-    ``per_lang`` of a language before the shuffle.  Only the chosen texts are
-    read then.
+    Rows are counted by language and range of hashes first (1,024 ranges); the counts say
+    up to which range a language's rows are needed, so that hardly more than
+    ``per_lang`` ids of a language meet in a task.  Only narrow columns are read for that,
+    and only the chosen texts then.
     """
     held_out = F.crc32(F.col(f"`{doc}`").cast("string")) % 4 == remainder
     open_ = df.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{doc}`").isNotNull() & ~held_out)
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(F.col(f"`{doc}`")), F.col(f"`{doc}`"))
-    ids = open_.select(doc, lang).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_lang).select(F.col(f"`{doc}`").alias("__id")).distinct()
-    return open_.where(F.col(f"`{text}`").isNotNull()).join(F.broadcast(ids), F.col(f"`{doc}`") == F.col("__id"), "left_semi").select(F.col(f"`{doc}`").alias("__id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
+    narrow = open_.select(F.col(f"`{doc}`").alias("__id"), F.col(f"`{lang}`").alias("__lang"), F.xxhash64(F.col(f"`{doc}`")).alias("__h")).withColumn("__range", F.shiftright("__h", 54))
+    counted = narrow.groupBy("__lang", "__range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("__lang").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    needed = counted.withColumn("__before", before).where(F.col("__before") < per_lang).select("__lang", "__range")
+    order = Window.partitionBy("__lang").orderBy("__h", "__id")
+    chosen = narrow.join(needed, ["__lang", "__range"]).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_lang)
+    ids = checkpointed(chosen.select("__id").distinct())
+    # per_lang times the number of languages, which are few; checked all the same
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    rows = open_.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc}`").alias("__doc"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
+    return rows.join(ids, F.col("__doc") == F.col("__id"), "left_semi").withColumnRenamed("__doc", "__id")
+
+
+#: Ids up to this many are broadcast to the texts (16 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def fit_on(df: DataFrame, per_lang: int = 400, order: int = 3, text: str = "text", doc: str = "doc_id", lang: str = "lang") -> Model:
     """A model over the bounded sample of ``training_rows``; whole texts of the sample are used."""
     samples: dict[str, list[bytes]] = {}
+    size = 0
     for row in training_rows(df, per_lang, text, doc, lang).orderBy("lang", "__id", "text").toLocalIterator():
         samples.setdefault(row.lang, []).append(row.text.encode())
+        size += len(samples[row.lang][-1])
+        if size > SAMPLE_BYTES:
+            raise ValueError(f"training texts hold more than {SAMPLE_BYTES} bytes: lower per_lang")
     return fit(samples, order)
 
 
