@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinlog.llm.common import map_text
+from skeinlog.llm.common import cuts, map_text
 
 UNIT = 576
 MCU_BYTES = 384
@@ -633,10 +633,12 @@ def encode_media(df: DataFrame, column: str, keys: list[str] | None = None) -> D
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = batch.column(batch.num_columns - 1).to_pylist()
-            made = iter(encode_payloads([padded_payload(h) for h in held if h is not None]))
-            media = pa.array([None if h is None else next(made) for h in held], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], media], names=[*batch.schema.names[:-1], "media"])
+            for a, b in cuts(batch.column(batch.num_columns - 1), STEP):
+                part = batch.slice(a, b - a)
+                held = part.column(part.num_columns - 1).to_pylist()
+                made = iter(encode_payloads([padded_payload(h) for h in held if h is not None]))
+                media = pa.array([None if h is None else next(made) for h in held], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], media], names=[*part.schema.names[:-1], "media"])
 
     kept = df.select(*[F.col(f"`{k}`") for k in keys or ["doc_id"]], F.col(f"`{column}`").cast("binary").alias("__bytes"))
     schema = kept.drop("__bytes").schema
