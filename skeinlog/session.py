@@ -19,6 +19,7 @@ def build_session(app: str = "skeinlog", master: str | None = None, **conf: obje
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -36,23 +37,27 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def _shared_root(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only on a single machine."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="skeinlog-")
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.
-    Only where that is unset (single-machine tests) a temporary one is made.
-    """
+
+def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="skeinlog-ck-"))
+        spark.sparkContext.setCheckpointDir(_shared_root(spark))
     return df.checkpoint(eager)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path in the folder that the cluster shares (``spark.checkpoint.dir``), or in a temporary one if that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skeinlog-")
-    return f"{named.rstrip('/')}/skeinlog-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder."""
+    return f"{_shared_root(spark)}/skeinlog-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
