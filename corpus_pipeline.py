@@ -6,7 +6,8 @@ the last return the columns of documents.
 
 1. quality rules: documents that the second policy rejects go;
 2. line dedup: boilerplate lines of ten sources or more keep one place;
-3. near duplicates: one document of each group linked by 0.8 or more of its 5-word shingles stays;
+3. SimHash near-dedup: of documents linked by 0.8 or more of their 5-word shingles one stays; operator 4's
+   fingerprints and trees find the groups, an exact search adds the links that lie beyond its radius;
 4. mixing: small sources are repeated towards even weights, none more than one
    and a half times, and every document is drawn at least once;
 5. encoding: token ids of every drawn document and their decoding, as digests.
@@ -52,7 +53,7 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup),
-    ("near duplicates", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("mixing sources", source_mixing),
     ("BPE encoding and decoding", bpe_encoding),
 ]
@@ -62,11 +63,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written to the shared folder and reread."""
+    """All stages over ``documents``; what a stage returns is written to the shared folder and reread.
+
+    A stage's rows go as soon as the next one's are written, and all of them after a
+    failure; the digests that the last stage returns stay there.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = shared_folder(spark)
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        docs = written(stage(spark, docs, sf_dir), f"{folder}/{k}")
-        if k:
-            removed(spark, f"{folder}/{k - 1}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            docs = written(stage(spark, docs, sf_dir), f"{folder}/{k}")
+            if k:
+                removed(spark, f"{folder}/{k - 1}")
+    except BaseException:
+        removed(spark, folder)
+        raise
+    return docs
