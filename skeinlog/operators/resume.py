@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skeinlog.operators.paths import above, ends
 from skeinlog.session import checkpointed
@@ -51,8 +52,14 @@ def visible_leaf(nodes: DataFrame, prompts: DataFrame) -> tuple[DataFrame, DataF
 
 
 def graph_log(log: DataFrame) -> DataFrame:
-    """A line of text per event: ``*`` on main, ``| *`` on side branches, forks and merges marked; newest last."""
+    """A line of text per event, in order of ``seq``: ``*`` in its branch's lane, ``|`` for the lanes before it, then hash, mark, type and branch.
+
+    Main has the first lane; other branches follow in the order in which they open.
+    """
     branch = F.when(F.coalesce("branch", F.lit("")) == "", "main").otherwise(F.col("branch"))
-    lane = F.when(branch == "main", "* ").otherwise("| * ")
+    rows = log.withColumn("__b", branch)
+    opened = rows.groupBy("artifact_id", "__b").agg(F.min("seq").alias("__open"))
+    lanes = opened.withColumn("__lane", (F.row_number().over(Window.partitionBy("artifact_id").orderBy(F.col("__b") != "main", "__open", "__b")) - 1).cast("int")).drop("__open")
     mark = F.when(F.col("type") == "fork", "(fork) ").when(F.col("type") == "merge", "(merge) ").otherwise("")
-    return log.select("artifact_id", "seq", F.concat(lane, F.substring("hash", 1, 8), F.lit(" "), mark, F.col("type"), F.lit(" ["), branch, F.lit("]")).alias("line"))
+    line = F.concat(F.repeat(F.lit("| "), F.col("__lane")), F.lit("* "), F.substring("hash", 1, 8), F.lit(" "), mark, F.col("type"), F.lit(" ["), F.col("__b"), F.lit("]"))
+    return rows.join(lanes, ["artifact_id", "__b"]).select("artifact_id", "seq", line.alias("line"))

@@ -157,3 +157,54 @@ def state_fold(spark, sf_dir):
         F.array("text").alias("items"),
     )
     return L.fold_conversations(log).select("artifact_id", "format", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", "\x1e"), 256).alias("state"))
+
+
+@query(
+    "graph_lines",
+    f"""WITH {_FORKED} SELECT artifact_id, seq, CASE WHEN seq >= 4 THEN '| ' ELSE '' END || '* ' || left(hash, 8) || ' ' || CASE WHEN seq = 4 THEN '(fork) fork' ELSE 'update' END || ' [' || branch || ']' AS line FROM f""",
+)
+def graph_lines(spark, sf_dir):
+    from skeinlog.operators.resume import graph_log
+
+    return graph_log(_forked(spark, sf_dir))
+
+
+@query("branch_heads_replay", "SELECT conv_id AS artifact_id, CASE WHEN turn >= 4 THEN 'side' ELSE 'main' END AS branch, count(*) AS n_events, max(CASE WHEN turn = 4 THEN 'main' END) AS parent, max(CASE WHEN turn = 4 THEN 'e1' END) AS fork_point, coalesce(bool_or(turn >= 4), false) AND conv_id % 2 = 0 AS merged FROM conversations GROUP BY 1, 2")
+def branch_heads_replay(spark, sf_dir):
+    """Turns from the fifth on are a branch that forks off the second; main takes it in for even conversations."""
+    pos = F.col("pos")
+    e = conv_events(spark, sf_dir).select(
+        "artifact_id", "pos", F.when(pos >= 4, "side").alias("branch_id"), F.when(pos == 4, "main").alias("source_branch_id"), F.when(pos == 4, "e1").alias("source_event_id"),
+        F.when((pos == 0) & (F.col("artifact_id") % 2 == 0), F.array(F.lit("side"))).otherwise(F.array().cast("array<string>")).alias("merged_branch_ids"),
+    )
+    return L.branch_replay(e).select("artifact_id", "branch", "n_events", "parent", "fork_point", "merged")
+
+
+_FAULTS = """c AS (SELECT conv_id AS artifact_id, turn AS seq, conv_id % 8 AS kind FROM conversations),
+b AS (SELECT artifact_id, seq, kind, 'h' || seq AS hash FROM c)
+SELECT artifact_id, seq, fault FROM (SELECT artifact_id, seq, CASE
+WHEN kind = 1 AND seq = 2 THEN 'hash'
+WHEN kind = 2 AND seq = 3 THEN 'fork onto a branch that exists'
+WHEN kind = 3 AND seq = 3 THEN 'fork parent is no earlier event'
+WHEN kind = 4 AND seq = 3 THEN 'branch opens without fork'
+WHEN kind = 5 AND seq = 2 THEN 'parent is not the head'
+WHEN kind = 6 AND seq = 0 THEN 'baseline without event id'
+WHEN kind = 7 AND seq = 0 THEN 'baseline without payload' END AS fault FROM b) WHERE fault IS NOT NULL"""
+
+
+@query("chain_faults", f"WITH {_FAULTS}")
+def chain_faults(spark, sf_dir):
+    """Conversations as chains, each with one of seven faults or none."""
+    t = conv_events(spark, sf_dir).select("artifact_id", F.col("pos").alias("seq"), (F.col("artifact_id") % 8).alias("kind"))
+    seq, kind = F.col("seq"), F.col("kind")
+    at = lambda k, s: (kind == k) & (seq == s)
+    name = lambda c: F.concat(F.lit("h"), c.cast("string"))
+    side = ((kind == 2) & (seq >= 2)) | ((kind == 3) & (seq >= 3)) | ((kind == 4) & (seq >= 3))
+    fork = at(2, 2) | at(2, 3) | at(3, 3)
+    base = kind.isin(6, 7) & (seq == 0)
+    parent = F.when(seq == 0, "").when(at(3, 3), "h99").when(at(5, 2), "h0").when(base, "").when(kind.isin(6, 7) & (seq == 1), "far").otherwise(name(seq - 1))
+    log = t.select(
+        "artifact_id", "seq", F.when(fork, "fork").when(base, "baseline").otherwise("update").alias("type"), F.when(side, "side").otherwise("main").alias("branch"), name(seq).alias("hash"), parent.alias("parent_hash"),
+        F.when(at(1, 2), "other").otherwise(name(seq)).alias("made"), F.when(base, "far").alias("aligned_head"), F.when(base & (kind == 7), "e").alias("aligned_event_id"), F.when(base & (kind == 7), "").otherwise('{"x":1}').alias("payload"), F.when(fork, "main").alias("fork_source_branch"),
+    )
+    return L.verify_chain(log, F.col("made")).select("artifact_id", "seq", "fault")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skeinlog.plans.registry import query
 from skeinlog.session import load_table
+from skeinlog.streaming import bus as B
 from skeinlog.streaming import settle as S
 
 
@@ -92,3 +93,57 @@ def cursor_moves(spark, sf_dir):
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     moves = _events(spark, sf_dir).select(F.col("user_id").alias("cursor"), F.col("event_id").alias("seq"), (n + F.when(F.col("event_id") % 17 == 0, 5).otherwise(0)).alias("position"), F.lit(1).alias("span"))
     return S.cursor_moves(moves).select("cursor", "seq", "ok")
+
+
+@query("bus_numbers", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS seq FROM events")
+def bus_numbers(spark, sf_dir):
+    return B.numbered(_events(spark, sf_dir).select("event_id", "ts")).select("event_id", "seq")
+
+
+@query(
+    "bus_drops",
+    """WITH p AS (SELECT user_id % 4 AS subscriber, event_id AS seq, event_type = 'purchase' AND event_id % 20 = 0 AS mark FROM events),
+q AS (SELECT *, coalesce(sum(mark::INTEGER) OVER (PARTITION BY subscriber ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM p),
+r AS (SELECT subscriber, row_number() OVER (PARTITION BY subscriber, part ORDER BY seq) > 64 AS dropped FROM q)
+SELECT subscriber, count(*) FILTER (WHERE NOT dropped) AS delivered, count(*) FILTER (WHERE dropped) AS dropped FROM r GROUP BY 1""",
+)
+def bus_drops(spark, sf_dir):
+    """Four subscribers; some purchases stand for the moments at which they empty their buffers."""
+    e = _events(spark, sf_dir).select((F.col("user_id") % 4).alias("subscriber"), F.col("event_id").alias("seq"), "event_type")
+    drained = e.where("event_type = 'purchase' and seq % 20 = 0").select("subscriber", "seq")
+    return B.drop_counts(B.delivered(e.select("subscriber", "seq"), drained))
+
+
+@query("server_sent", "SELECT event_id, 'id: ' || event_id || chr(10) || 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10) AS frame FROM events")
+def server_sent(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_id", B.server_sent(F.col("event_id"), F.col("event_type"), F.col("props")).alias("frame"))
+
+
+@query("lane_gaps", "SELECT user_id AS lane, event_id + 1 AS from_seq, n - 1 AS to_seq FROM (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n > event_id + 1")
+def lane_gaps(spark, sf_dir):
+    return B.gaps(_events(spark, sf_dir).select(F.col("user_id").alias("lane"), F.col("event_id").alias("seq")))
+
+
+@query(
+    "inbox_arrivals",
+    "WITH s AS (SELECT user_id, event_type, event_id, value FROM events WHERE event_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1), a AS (SELECT user_id, event_type, event_id, value FROM events WHERE event_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1) SELECT * FROM s UNION ALL SELECT a.* FROM a LEFT JOIN s ON a.user_id = s.user_id AND a.event_type = s.event_type WHERE s.user_id IS NULL",
+)
+def inbox_arrivals(spark, sf_dir):
+    """A third of the events is stored; of those that arrive a key's first is taken, if the key is new."""
+    e = _events(spark, sf_dir).select("user_id", "event_type", "event_id", "value")
+    return B.inbox(e.where("event_id % 3 = 0"), e.where("event_id % 3 <> 0"), ["user_id", "event_type"], "event_id")
+
+
+@query("session_upsert", "WITH s AS (SELECT DISTINCT conv_id FROM conversations) SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'new' ELSE 'old' END AS title FROM s WHERE conv_id % 2 = 0 OR conv_id % 3 = 0")
+def session_upsert(spark, sf_dir):
+    """Even sessions are stored; every third one is written again."""
+    s = load_table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    return B.upserted(s.where("conv_id % 2 = 0").withColumn("title", F.lit("old")), s.where("conv_id % 3 = 0").withColumn("title", F.lit("new")), ["conv_id"])
+
+
+@query("session_new_messages", "SELECT DISTINCT conv_id, role, md5(coalesce(text, '')) AS body FROM conversations EXCEPT SELECT conv_id, role, md5(coalesce(text, '')) FROM conversations WHERE turn % 2 = 0")
+def session_new_messages(spark, sf_dir):
+    """Every second message is stored; all arrive, twice."""
+    m = load_table(spark, sf_dir, "conversations").select("conv_id", "role", F.md5(F.coalesce("text", F.lit(""))).alias("body"), "turn")
+    rows = m.drop("turn")
+    return B.new_messages(m.where("turn % 2 = 0").drop("turn"), rows.unionByName(rows), ["conv_id", "role", "body"])
