@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skeinlog.llm.common import map_text
 from skeinlog.llm.hamming_tree import contracted, first_of_each, hashes_of, keyed, majority, point_labels, smallest
@@ -51,13 +52,15 @@ def point_of(shingles: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def prefix_of(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first n // 5 + 1 shingles, rare ones first."""
+def prefix_of(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first n // 5 + 1 shingles, rare ones first, and how many of them are not frequent."""
     k = len(shingles) // 5 + 1
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-        shingles = shingles[np.argsort(np.where(frequent[at] == shingles, counts[at], 0), kind="stable")]
-    return shingles[:k]
+    if not len(frequent):
+        return shingles[:k], min(k, len(shingles))
+    at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+    often = np.where(frequent[at] == shingles, counts[at], 0)
+    order = np.argsort(often, kind="stable")[:k]
+    return shingles[order], int((often[order] == 0).sum())
 
 
 def parity_of(shingles: np.ndarray) -> np.ndarray:
@@ -159,12 +162,13 @@ def _found(df: DataFrame, text: str, doc: str) -> DataFrame:
             found = [np.unique(h) for h in hashes]
             parity = [parity_of(s) for s in found]
             fps = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
-            return [[point_of(s) for s in found], [len(s) for s in found], fps, *[[p[i] for p in parity] for i in range(4)], [sketch_of(s) for s in found], [prefix_of(s, frequent, counts).view(np.int64) for s in found]]
+            prefixes = [prefix_of(s, frequent, counts) for s in found]
+            return [[point_of(s) for s in found], [len(s) for s in found], fps, *[[p[i] for p in parity] for i in range(4)], [sketch_of(s) for s in found], [p.view(np.int64) for p, _ in prefixes], [r for _, r in prefixes]]
 
         return work
 
     folder = shared_folder(df.sparkSession)
-    schema = "point long, n int, fp long, p0 long, p1 long, p2 long, p3 long, sketch binary, prefix array<bigint>"
+    schema = "point long, n int, fp long, p0 long, p1 long, p2 long, p3 long, sketch binary, prefix array<bigint>, rare int"
     try:
         made = written(map_text(rows, ["__doc", "__th"], "__text", schema, make), folder)
         named = checkpointed(made.select("__doc", "__th", "point"))
@@ -182,9 +186,15 @@ def _found(df: DataFrame, text: str, doc: str) -> DataFrame:
         # shingles whose texts aren't one component yet
         labels = contracted(links)
         labelled = checkpointed(points.select("point", *columns).join(labels, F.col("point") == F.col("a"), "left").select("point", F.coalesce("label", "point").alias("label"), *columns))
-        names = made.select("point", "prefix").join(_small(labelled.select("point", "label"), size), "point").select("point", "label", F.posexplode("prefix").alias("i", "s"))
-        several = checkpointed(names.groupBy("s").agg(F.min("point").alias("low"), F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("s", "low"))
-        shared = names.join(_small(several), "s").select("s", "point", "i", "low").distinct()
+        names = made.select("point", "prefix", "rare").join(_small(labelled.select("point", "label"), size), "point").select("point", "label", "rare", F.posexplode("prefix").alias("i", "s"))
+        ends = [F.min("point"), F.min("label"), F.max("label")]
+        # rare shingles meet once, with all that is asked of them; frequent ones, which are bounded in number, are summed up before they meet
+        once = Window.partitionBy("s")
+        cold = names.where("i < rare").select("s", "point", "label", "i").withColumns({c: e.over(once) for c, e in zip(("low", "l", "h"), ends, strict=True)}).where("l < h")
+        often = names.where("i >= rare").groupBy("s").agg(*[e.alias(c) for c, e in zip(("low", "l", "h"), ends, strict=True)]).where("l < h").select("s", "low")
+        hot = names.where("i >= rare").join(F.broadcast(often), "s")
+        columns_of = ["s", "point", "i", "low"]
+        shared = cold.select(*columns_of).unionByName(hot.select(*columns_of)).distinct()
         dealt = checkpointed(shared.join(_small(labelled, size), "point"))
     finally:
         removed(df.sparkSession, folder)
