@@ -21,6 +21,27 @@ def listed(artifacts: DataFrame, first_events: DataFrame, kind: str = "", scope:
     return out.where(F.col("origin_agent") == agent) if agent else out
 
 
+def in_creation_order(artifacts: DataFrame, kind: str) -> DataFrame:
+    """Artifacts of a kind with their ``place`` by creation, then id; a page of them is a filter on it.
+
+    Places are counted within days first, so no window holds more than a day's artifacts or one row a day.
+    """
+    kept = artifacts.where(F.col("kind") == kind).withColumn("__day", F.to_date("created_at"))
+    days = kept.groupBy("__day").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = days.select(F.col("__day").alias("__d"), before.alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__day").orderBy("created_at", "artifact_id"))
+    return kept.withColumn("__n", own).join(offsets, F.col("__day").eqNullSafe(F.col("__d"))).withColumn("place", F.col("__before") + F.col("__n")).drop("__day", "__d", "__before", "__n")
+
+
+def bundle_bodies(files: DataFrame, transforms: dict[str, Column]) -> DataFrame:
+    """Files of a bundle with ``body`` put through the transform of their kind; other kinds stay as they are."""
+    body = F.col("body")
+    for kind, made in transforms.items():
+        body = F.when(F.col("kind") == kind, made).otherwise(body)
+    return files.withColumn("body", body)
+
+
 def logged(projected: DataFrame, sidecar: DataFrame, tag: str = "") -> DataFrame:
     """Events of a projection with their tags, written and from the sidecar (``hash, tags``); only those with ``tag`` if given."""
     empty = F.array().cast("array<string>")

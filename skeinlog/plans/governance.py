@@ -63,6 +63,36 @@ def rules_presets(spark, sf_dir):
     return d.select("artifact_id", F.array_join("allowed_agents", ",").alias("allowed_agents"), "remote_allowed", "include_secrets", F.array_join("matched_rules", ",").alias("matched_rules"))
 
 
+PREDICATES = [
+    Rule("types", {"type": ["memory", "tool"]}, assign_tags=("t1",)),
+    Rule("tools", {"toolKind": ["mcp"], "toolCapability": ["net"]}, assign_tags=("t2",)),
+    Rule("project", {"scope": {"kind": ["project"], "project": {"id": ["p1*", "q"], "ephemeral": False}}}, assign_tags=("t3",)),
+    Rule("space", {"scope": {"namespace": ["n1"]}, "deviceSource": ["d2"], "kind": "any"}, assign_tags=("t4",)),
+    Rule("branch", {"branchName": "^feature-[0-4]$", "path": "/w/src?/*"}, assign_tags=("t5",)),
+    Rule("tagged", {"tag": ["la*-en", "zz"]}, assign_tags=("t6",)),
+]
+
+
+@query(
+    "rules_predicates",
+    """WITH a AS (SELECT doc_id AS artifact_id, doc_id % 3 AS k, doc_id % 10 AS t, source, lang FROM documents)
+SELECT artifact_id, array_to_string(list_filter([CASE WHEN k <> 2 THEN 'types' END, CASE WHEN k = 1 AND t < 5 AND t % 2 = 0 THEN 'tools' END, CASE WHEN t < 7 AND artifact_id % 20 IN (1, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19) AND artifact_id % 4 <> 0 THEN 'project' END,
+CASE WHEN t = 1 OR artifact_id % 6 = 2 THEN 'space' END, CASE WHEN t < 5 AND length(source) = 4 THEN 'branch' END, CASE WHEN lang = 'en' THEN 'tagged' END], lambda x: x IS NOT NULL), ',') AS matched_rules FROM a""",
+)
+def rules_predicates(spark, sf_dir):
+    """Every predicate of a rule over artifacts with surrogate attributes."""
+    doc = F.col("doc_id")
+    t = doc % 10
+    text = lambda c: c.cast("string")
+    a = load_table(spark, sf_dir, "documents").select(
+        doc.alias("artifact_id"), F.array_compact(F.array(F.concat(F.lit("lang-"), "lang"))).alias("tags"), F.when(doc % 3 == 0, "memory").when(doc % 3 == 1, "tool").otherwise("skill").alias("type"),
+        F.when(t < 5, "mcp").otherwise("cli").alias("tool_kind"), F.when(t % 2 == 0, F.array(F.lit("net"), F.lit("fs"))).otherwise(F.array(F.lit("fs"))).alias("tool_capabilities"), F.when(t < 7, "project").otherwise("global").alias("scope_kind"),
+        F.concat(F.lit("p"), text(doc % 20)).alias("project_id"), (doc % 4 == 0).alias("project_ephemeral"), F.concat(F.lit("n"), text(t)).alias("namespace"), F.col("source").alias("origin_agent"), F.concat(F.lit("d"), text(doc % 6)).alias("origin_device"),
+        F.concat(F.lit("feature-"), text(t)).alias("branch_name"), F.concat(F.lit("/w/"), "source", F.lit("/f"), text(doc)).alias("native_path"),
+    )
+    return decide(a, PREDICATES, AGENTS).select("artifact_id", F.array_join("matched_rules", ",").alias("matched_rules"))
+
+
 @query("rules_routes", f"WITH {_DECIDED} SELECT artifact_id, unnest(allowed) AS agent FROM d")
 def rules_routes(spark, sf_dir):
     return route_rows(_decided(spark, sf_dir))

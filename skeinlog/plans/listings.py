@@ -213,3 +213,28 @@ def skill_folders(spark, sf_dir):
     path = F.when(r == 0, F.concat(F.lit("/s/"), "source", F.lit("/SKILL.md"))).when(r == 1, "/s/skills/a.md").when(r == 2, "/s/.hidden/a.md")
     name = F.when(r == 1, F.concat(F.lit("note"), n, F.lit(".md"))).when(r == 3, F.concat(F.lit("x"), n)).otherwise("SKILL.md")
     return d.select("doc_id", D.skill_dir(path, name).alias("folder"))
+
+
+@query("catalog_by_creation", "SELECT event_id AS artifact_id, row_number() OVER (ORDER BY ts, event_id) AS place FROM events WHERE event_type = 'click'")
+def catalog_by_creation(spark, sf_dir):
+    e = load_table(spark, sf_dir, "events").select(F.col("event_id").alias("artifact_id"), F.col("event_type").alias("kind"), F.col("ts").alias("created_at"))
+    return K.in_creation_order(e, "click").select("artifact_id", "place")
+
+
+@query("bundle_bodies", "SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN upper(coalesce(lang, '')) WHEN 1 THEN 'skill:' || coalesce(text, '') ELSE coalesce(text, '') END) AS body FROM documents")
+def bundle_bodies(spark, sf_dir):
+    r = F.col("doc_id") % 3
+    files = load_table(spark, sf_dir, "documents").select("doc_id", F.when(r == 0, "memory").when(r == 1, "skill").otherwise("tool").alias("kind"), F.coalesce("text", F.lit("")).alias("body"), "lang")
+    return K.bundle_bodies(files, {"memory": F.upper(F.coalesce("lang", F.lit(""))), "skill": F.concat(F.lit("skill:"), "body")}).select("doc_id", F.md5("body").alias("body"))
+
+
+@query(
+    "project_sections",
+    r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, '<!-- skein:project-memory:k -->' || chr(10) || '## Project: ' || source || chr(10) || chr(10) || 'about ' || doc_id || chr(10) || '<!-- /skein:project-memory:k -->' || chr(10) AS block FROM documents)
+SELECT doc_id, md5(CASE WHEN regexp_replace(t, '\s+', '', 'g') = '' THEN block ELSE t || CASE WHEN suffix(t, chr(10)) THEN '' ELSE chr(10) END || chr(10) || block END) AS body FROM d""",
+)
+def project_sections(spark, sf_dir):
+    """A section written twice: the second writing takes the first one's place."""
+    d = load_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"), "source")
+    once = d.withColumn("t", D.upserted_section(F.col("t"), "k", F.lit("other"), F.lit("old text")))
+    return once.select("doc_id", F.md5(D.upserted_section(F.col("t"), "k", F.col("source"), F.concat(F.lit("about "), F.col("doc_id").cast("string"), F.lit("\n\n")))).alias("body"))

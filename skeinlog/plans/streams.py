@@ -147,3 +147,15 @@ def session_new_messages(spark, sf_dir):
     m = load_table(spark, sf_dir, "conversations").select("conv_id", "role", F.md5(F.coalesce("text", F.lit(""))).alias("body"), "turn")
     rows = m.drop("turn")
     return B.new_messages(m.where("turn % 2 = 0").drop("turn"), rows.unionByName(rows), ["conv_id", "role", "body"])
+
+
+@query(
+    "sweep_waits",
+    """WITH h AS (SELECT date_trunc('hour', ts) AS h, count(*) FILTER (WHERE event_type = 'error') // 4 AS n, 0 AS newest FROM events GROUP BY 1),
+d AS (SELECT h, lag(n) OVER (ORDER BY h) IS DISTINCT FROM n AS drift FROM h), r AS (SELECT *, sum(drift::INTEGER) OVER (ORDER BY h) AS run FROM d)
+SELECT h AS seen_at, drift, (row_number() OVER (PARTITION BY run ORDER BY h) - 1)::INTEGER AS unchanged, least(600, 60 * pow(2, least(row_number() OVER (PARTITION BY run ORDER BY h) - 1, 30)))::BIGINT AS wait FROM r""",
+)
+def sweep_waits(spark, sf_dir):
+    """Hours as observations; the number of errors in fours is the fingerprint."""
+    h = _events(spark, sf_dir).groupBy(F.date_trunc("hour", "ts").alias("at")).agg(F.floor(F.count_if(F.col("event_type") == "error") / 4).alias("n"), F.lit(0).alias("newest"))
+    return S.sweeps(h, 60, 600).select(F.col("at").alias("seen_at"), "drift", "unchanged", "wait")

@@ -160,3 +160,17 @@ def store_fingerprint(artifacts: DataFrame) -> DataFrame:
 def sweep_interval(base_s: int, cap_s: int, unchanged: int) -> int:
     """Seconds to the next sweep after ``unchanged`` sweeps without drift: doubled each time, capped; drift resets it."""
     return min(cap_s, base_s * 2 ** min(unchanged, 30))
+
+
+def sweeps(history: DataFrame, base_s: int, cap_s: int) -> DataFrame:
+    """Observations of store fingerprints (``at, n, newest``) with ``drift``, how many before it were ``unchanged`` in a row, and the ``wait`` in seconds to the next one.
+
+    The first observation drifts.  One without drift needs no sweep and doubles the wait, up to the cap.
+    """
+    w = Window.partitionBy(F.lit(0)).orderBy("at")
+    before = F.lag(F.struct("n", "newest")).over(w)
+    marked = history.withColumn("drift", ~F.coalesce(before.eqNullSafe(F.struct("n", "newest")), F.lit(False)))
+    run = marked.withColumn("__run", F.sum(F.col("drift").cast("int")).over(w))
+    unchanged = F.row_number().over(Window.partitionBy("__run").orderBy("at")) - 1
+    out = run.withColumn("unchanged", unchanged).drop("__run")
+    return out.withColumn("wait", F.least(F.lit(cap_s), F.lit(base_s) * F.pow(F.lit(2.0), F.least("unchanged", F.lit(30)))).cast("long"))
