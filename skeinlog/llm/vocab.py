@@ -63,29 +63,41 @@ def load(path: str) -> Vocabulary:
     return Vocabulary(size, np.array([vocab[ch] for ch in letters], np.int32), pairs, id_bytes, added, cut)
 
 
+def key_of(piece: str) -> str:
+    """The cache's key of a pre-token: without its leading space, or with a space in front if it has none; white space is marked."""
+    if piece.isspace():
+        return "\x00" + piece
+    return piece[1:] if piece[0] == " " else " " + piece
+
+
+def piece_of(key: str) -> str:
+    if key[0] == "\x00" and key[1:].isspace():
+        return key[1:]
+    return key[1:] if key[0] == " " else " " + key
+
+
 class WordCoder:
-    """Codes whole texts from cached parts.
+    """Codes whole texts from cached pre-tokens.
 
     A text is cut at single spaces.  A part that ends in a visible character
     is coded alike wherever it stands, because no pre-token crosses the border
-    before a space that follows a visible character; its code is cached.  A text
+    before a space that follows a visible character.  A text
     with another part (doubled spaces, white space before a space or at the end)
     or a special string is cut by the pattern instead.  ``encode`` maps a list
-    of distinct pre-tokens to their codes; ``join`` and ``code_special`` say how
+    of distinct pre-tokens to their codes; ``add`` and ``special`` say how
     codes go together.
     """
 
-    #: Bytes of parts, pre-tokens and codes that stay between calls, about; beyond that the cache starts afresh.
-    CACHE_BYTES = 64 << 20
+    #: Bytes of pre-tokens and codes that stay between calls, about; beyond that the cache starts afresh.
+    CACHE_BYTES = 96 << 20
     #: Bytes that an entry takes besides its characters and code, about.
-    ENTRY_BYTES = 150
+    ENTRY_BYTES = 180
     #: Marks of what was met before: only what is met a second time stays.
     MARKS = 1 << 22
 
     def __init__(self, vocabulary: Vocabulary, encode, zero):
         self.vocabulary, self.encode, self.zero = vocabulary, encode, zero
-        self.parts: dict = {}
-        self.pieces: dict = {}
+        self.codes: dict = {}
         self.held = 0
         self.met, self.n_met = bytearray(self.MARKS), 0
         self.find = regex.compile(PATTERN).findall
@@ -95,7 +107,7 @@ class WordCoder:
         """For each text the codes of its parts, in order.
 
         Nothing here makes reference cycles, so the collector, which would
-        walk the caches again and again, rests meanwhile.
+        walk the cache again and again, rests meanwhile.
         """
         resting = gc.isenabled()
         gc.disable()
@@ -106,30 +118,25 @@ class WordCoder:
                 gc.enable()
 
     def clear(self) -> None:
-        """Forget all parts."""
-        self.parts, self.pieces, self.held = {}, {}, 0
+        """Forget all codes."""
+        self.codes, self.held = {}, 0
 
-    def _forget(self, cache: dict, fresh) -> None:
-        """Take out of ``cache`` what of ``fresh`` is met for the first time."""
-        met, mask = self.met, self.MARKS - 1
+    def _forget(self, fresh: set) -> None:
+        """Keep of the codes that were just made only those that are met for the second time."""
+        met, mask, codes = self.met, self.MARKS - 1, self.codes
         once = [x for x in fresh if not met[hash(x) & mask]]
         for x in once:
-            del cache[x]
+            del codes[x]
             met[hash(x) & mask] = 1
         self.n_met += len(once)
-        stays = len(fresh) - len(once)
-        self.held += stays * self.ENTRY_BYTES + 6 * (sum(map(len, fresh)) - sum(map(len, once)))
-
-    def _tidy(self, parts, pieces) -> None:
-        self._forget(self.parts, parts)
-        self._forget(self.pieces, pieces)
+        self.held += (len(fresh) - len(once)) * self.ENTRY_BYTES + 4 * (sum(map(len, fresh)) - sum(map(len, once)))
         if self.held > self.CACHE_BYTES:
             self.clear()
         if 4 * self.n_met > self.MARKS:
             self.met, self.n_met = bytearray(self.MARKS), 0
 
     def _lists(self, texts: list[str]) -> list[list]:
-        find, parts, marks = self.find, self.parts, self.marks
+        find, codes, marks = self.find, self.codes, self.marks
         # a text's first word stands without a space before it, so its key in the cache is marked
         split, slow = [], []
         for k, text in enumerate(texts):
@@ -144,15 +151,18 @@ class WordCoder:
         for words in split:
             if words is not None:
                 fresh.update(words)
-        fresh.difference_update(parts.keys() & fresh)
+        fresh.difference_update(codes.keys() & fresh)
         # str.isspace also holds for U+001C to U+001F, which the pattern takes as visible: the slow way is right for them too
-        cut, wild_parts = {}, set()
+        need, several, wild_parts = set(), {}, set()
         for w in fresh:
             if w.isalpha():
                 # letters alone are one pre-token
-                cut[w] = [" " + w]
+                need.add(w)
             elif w and not w[-1].isspace():
-                cut[w] = find(w[1:] if w[0] == " " else " " + w)
+                keys = list(map(key_of, find(w[1:] if w[0] == " " else " " + w)))
+                if len(keys) > 1:
+                    several[w] = keys
+                need.update(keys)
             else:
                 wild_parts.add(w)
         wild = {}
@@ -162,24 +172,25 @@ class WordCoder:
                     split[k] = None
                     slow.append(k)
         for k in slow:
-            wild[k] = self._cut(texts[k])
-        need = {p for ps in cut.values() for p in ps}
-        for ps in wild.values():
-            need.update(p for p in ps if type(p) is str)
-        need = [p for p in need if p not in self.pieces]
-        for at in range(0, len(need), 50_000):
-            some = need[at : at + 50_000]
-            self.pieces.update(zip(some, self.encode(some), strict=True))
-        pieces, zero = self.pieces, self.zero
-        for w, ps in cut.items():
-            parts[w] = pieces[ps[0]] if len(ps) == 1 else self.add([pieces[p] for p in ps], zero)
+            wild[k] = [key_of(p) if type(p) is str else p for p in self._cut(texts[k])]
+            need.update(p for p in wild[k] if type(p) is str)
+        need.difference_update(codes.keys() & need)
+        todo = list(need)
+        for at in range(0, len(todo), 50_000):
+            some = todo[at : at + 50_000]
+            codes.update(zip(some, self.encode(list(map(piece_of, some))), strict=True))
+        # parts of several pre-tokens are put together for this call
+        made = {w: self.add([codes[x] for x in keys], self.zero) for w, keys in several.items()}
+        codes.update(made)
         out = []
         for k, words in enumerate(split):
             if words is not None:
-                out.append(list(map(parts.__getitem__, words)))
+                out.append(list(map(codes.__getitem__, words)))
             else:
-                out.append([pieces[p] if type(p) is str else p[0] for p in wild[k]])
-        self._tidy(cut, need)
+                out.append([codes[p] if type(p) is str else p[0] for p in wild[k]])
+        for w in made:
+            del codes[w]
+        self._forget(need)
         return out
 
     def _cut(self, text: str) -> list:
