@@ -118,6 +118,14 @@ SELECT *, (failures & 3) <> 0 AS base_failed, (failures & 127) = 0 AS kept, 2::I
 """
 
 
+#: The ablation report over the same failure bits; policy 2 has all seven rules in force.
+_ABLATION = f"""
+WITH j AS ({_OP6}), r(rule, b) AS (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('short_words', 16), ('long_words', 32), ('shouting', 64))
+SELECT rule, count(*) FILTER (WHERE (failures & b) <> 0) AS n_failed, count(*) FILTER (WHERE (failures & 127) = b) AS n_alone, count(*) FILTER (WHERE (failures & (127 - b)) = 0) AS n_kept_without
+FROM j, r GROUP BY rule
+"""
+
+
 #: The pages' articles by tags alone: what template deduction must come to where a page marks its article.
 _OP8 = r"""
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS t FROM pages),
@@ -140,4 +148,4 @@ def oracle_sql() -> dict[str, str]:
     """SQL twins of those queries that SQL can express."""
     from corpus_pipeline import ORACLE_SQL
 
-    return {"op3_site_spread": _OP3, "op6_quality_ledger": _OP6, "op8_template_slots": _OP8} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
+    return {"op3_site_spread": _OP3, "op6_quality_ledger": _OP6, "op6_rule_ablation": _ABLATION, "op8_template_slots": _OP8} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
