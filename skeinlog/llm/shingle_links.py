@@ -170,7 +170,7 @@ def _found(df: DataFrame, text: str, doc: str) -> DataFrame:
     folder = shared_folder(df.sparkSession)
     schema = "point long, n int, fp long, p0 long, p1 long, p2 long, p3 long, sketch binary, prefix array<bigint>, rare int"
     try:
-        made = written(map_text(rows, ["__doc", "__th"], "__text", schema, make), folder)
+        made = written(map_text(rows, ["__doc", "__th"], "__text", schema, make), f"{folder}/made")
         named = checkpointed(made.select("__doc", "__th", "point"))
         columns = ["n", "p0", "p1", "p2", "p3"]
         points = checkpointed(made.groupBy("point").agg(smallest().alias("low"), *[F.first(c).alias(c) for c in [*columns, "fp", "sketch"]]))
@@ -195,26 +195,28 @@ def _found(df: DataFrame, text: str, doc: str) -> DataFrame:
         hot = names.where("i >= rare").join(F.broadcast(often), "s")
         columns_of = ["s", "point", "i", "low"]
         shared = cold.select(*columns_of).unionByName(hot.select(*columns_of)).distinct()
-        dealt = checkpointed(shared.join(_small(labelled, size), "point"))
+        # in columns, where what repeats takes no room
+        dealt = written(shared.join(_small(labelled, size), "point"), f"{folder}/dealt")
+
+        bounds = (
+            "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) and 9 * least(x.n - x.i, y.n - y.i) >= 4 * (x.n + y.n)"
+            " and 9 * (bit_count(x.p0 ^ y.p0) + bit_count(x.p1 ^ y.p1) + bit_count(x.p2 ^ y.p2) + bit_count(x.p3 ^ y.p3)) <= x.n + y.n"
+        )
+        pair = [F.col("x.point").alias("a"), F.col("y.point").alias("b")]
+        x, y = dealt.alias("x"), dealt.where("point = low").alias("y")
+        stars = x.join(y, F.expr(f"x.s = y.s and x.point > y.point and x.label <> y.label and {bounds}")).select(*pair).distinct()
+        links = checkpointed(links.unionByName(verified(rows, points, stars)))
+        now = contracted(links).select(F.col("a").alias("__was"), F.col("label").alias("__now"))
+        later = dealt.join(now, F.col("point") == F.col("__was"), "left").withColumn("label", F.coalesce("__now", "point")).drop("__was", "__now")
+        apart = later.groupBy("s").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("s")
+        later = written(later.join(apart, "s", "left_semi"), f"{folder}/later")
+        x, y = later.alias("x"), later.alias("y")
+        # pairs with the shingle's lowest text are settled by the first round
+        rest = x.join(y, F.expr(f"x.s = y.s and x.point > y.point and y.point > y.low and x.label <> y.label and {bounds}")).select(*pair).distinct()
+        joined = contracted(links.unionByName(verified(rows, points, rest)))
     finally:
+        # all that is left is checkpointed
         removed(df.sparkSession, folder)
-
-    bounds = (
-        "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) and 9 * least(x.n - x.i, y.n - y.i) >= 4 * (x.n + y.n)"
-        " and 9 * (bit_count(x.p0 ^ y.p0) + bit_count(x.p1 ^ y.p1) + bit_count(x.p2 ^ y.p2) + bit_count(x.p3 ^ y.p3)) <= x.n + y.n"
-    )
-    pair = [F.col("x.point").alias("a"), F.col("y.point").alias("b")]
-    x, y = dealt.alias("x"), dealt.where("point = low").alias("y")
-    stars = x.join(y, F.expr(f"x.s = y.s and x.point > y.point and x.label <> y.label and {bounds}")).select(*pair).distinct()
-    links = checkpointed(links.unionByName(verified(rows, points, stars)))
-    now = contracted(links).select(F.col("a").alias("__was"), F.col("label").alias("__now"))
-    later = dealt.join(now, F.col("point") == F.col("__was"), "left").withColumn("label", F.coalesce("__now", "point")).drop("__was", "__now")
-    apart = later.groupBy("s").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("s")
-    later = checkpointed(later.join(apart, "s", "left_semi"))
-    x, y = later.alias("x"), later.alias("y")
-    # pairs with the shingle's lowest text are settled by the first round
-    rest = x.join(y, F.expr(f"x.s = y.s and x.point > y.point and y.point > y.low and x.label <> y.label and {bounds}")).select(*pair).distinct()
-    joined = contracted(links.unionByName(verified(rows, points, rest)))
     known = points.select("point", "low").join(joined, F.col("point") == F.col("a"), "left").select("point", "low", F.coalesce("label", "point").alias("label"))
     low = known.groupBy("label").agg(F.min("low").alias("low"))
     return named.join(known.select("point", "label").join(low, "label"), "point").select("__doc", "__th", "low")
