@@ -135,14 +135,14 @@ def id_pieces(table: PairTable, pieces: list[str]) -> list[bytes]:
 def _counter(path: str) -> CountCoder:
     """One coder a worker process, so that tasks share its cache."""
     table = pair_table(path)
-    return CountCoder(load(path), lambda pieces: count_pieces(table, pieces))
+    return CountCoder(load(path), lambda pieces: count_pieces(table, pieces), keep_all=True)
 
 
 @functools.lru_cache(maxsize=4)
 def id_coder(path: str) -> IdCoder:
     """As ``_counter``, for ids."""
     table = pair_table(path)
-    return IdCoder(load(path), lambda pieces: id_pieces(table, pieces))
+    return IdCoder(load(path), lambda pieces: id_pieces(table, pieces), keep_all=True)
 
 
 def token_counts(df: DataFrame, path: str, text: str = "text", keys: list[str] | None = None, limit: int = 1024) -> DataFrame:

@@ -92,11 +92,11 @@ class WordCoder:
     CACHE_BYTES = 96 << 20
     #: Bytes that an entry takes besides its characters and code, about.
     ENTRY_BYTES = 180
-    #: Marks of what was met before: only what is met a second time stays.
+    #: Marks of what was met before: where ``keep_all`` is off only what is met a second time stays.
     MARKS = 1 << 22
 
-    def __init__(self, vocabulary: Vocabulary, encode, zero):
-        self.vocabulary, self.encode, self.zero = vocabulary, encode, zero
+    def __init__(self, vocabulary: Vocabulary, encode, zero, keep_all: bool = False):
+        self.vocabulary, self.encode, self.zero, self.keep_all = vocabulary, encode, zero, keep_all
         self.codes: dict = {}
         self.held = 0
         self.met, self.n_met = bytearray(self.MARKS), 0
@@ -122,9 +122,9 @@ class WordCoder:
         self.codes, self.held = {}, 0
 
     def _forget(self, fresh: set) -> None:
-        """Keep of the codes that were just made only those that are met for the second time."""
+        """Keep of the codes that were just made those that are met for the second time, or all; begin anew beyond the bound."""
         met, mask, codes = self.met, self.MARKS - 1, self.codes
-        once = [x for x in fresh if not met[hash(x) & mask]]
+        once = [] if self.keep_all else [x for x in fresh if not met[hash(x) & mask]]
         for x in once:
             del codes[x]
             met[hash(x) & mask] = 1
@@ -215,8 +215,8 @@ class WordCoder:
 class IdCoder(WordCoder):
     """Codes are little-endian int32 ids as bytes."""
 
-    def __init__(self, vocabulary: Vocabulary, encode):
-        super().__init__(vocabulary, encode, b"")
+    def __init__(self, vocabulary: Vocabulary, encode, keep_all: bool = False):
+        super().__init__(vocabulary, encode, b"", keep_all)
 
     def add(self, codes, zero):
         return b"".join(codes)
@@ -228,8 +228,8 @@ class IdCoder(WordCoder):
 class CountCoder(WordCoder):
     """Codes are numbers of tokens."""
 
-    def __init__(self, vocabulary: Vocabulary, encode):
-        super().__init__(vocabulary, encode, 0)
+    def __init__(self, vocabulary: Vocabulary, encode, keep_all: bool = False):
+        super().__init__(vocabulary, encode, 0, keep_all)
 
     def add(self, codes, zero):
         return sum(codes)
