@@ -26,6 +26,9 @@ from skeinlog.llm.shingle_links import one_of_each
 from skeinlog.llm.site_spread import drop_boilerplate
 from skeinlog.session import removed, shared_folder, written
 
+#: Of codes that a worker keeps, less than op9 alone does: executors still hold the heap that earlier stages have grown.
+CACHE_BYTES = 32 << 20
+
 MIX = Mix(entropy=1.0, max_epochs=1.5, cover=True)
 
 
@@ -47,7 +50,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return round_trip(docs, vocabulary_path())
+    return round_trip(docs, vocabulary_path(), cache_bytes=CACHE_BYTES)
 
 
 STAGES = [

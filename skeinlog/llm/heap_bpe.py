@@ -77,15 +77,17 @@ def decode(vocabulary: Vocabulary, ids: list[int]) -> str:
 
 
 @functools.lru_cache(maxsize=4)
-def coder(path: str) -> IdCoder:
+def coder(path: str, cache_bytes: int = IdCoder.CACHE_BYTES) -> IdCoder:
     """One coder a worker process, so that tasks share its cache."""
     vocabulary = load(path)
-    return IdCoder(vocabulary, lambda pieces: encode_pieces(vocabulary, pieces))
+    made = IdCoder(vocabulary, lambda pieces: encode_pieces(vocabulary, pieces))
+    made.CACHE_BYTES = cache_bytes
+    return made
 
 
-def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
+def encode_texts(path: str, texts: list[str], cache_bytes: int = IdCoder.CACHE_BYTES) -> list[np.ndarray]:
     """Ids of whole texts as int32 arrays."""
-    return [np.frombuffer(b"".join(codes), "<i4") for codes in coder(path).lists(texts)]
+    return [np.frombuffer(b"".join(codes), "<i4") for codes in coder(path, cache_bytes).lists(texts)]
 
 
 def encode_documents(df: DataFrame, path: str, text: str = "text", keys: list[str] | None = None) -> DataFrame:
@@ -113,7 +115,7 @@ def decode_documents(df: DataFrame, path: str, ids: str = "ids", keys: list[str]
     return df.select(*[F.col(f"`{k}`") for k in keys or ["doc_id"]], undo(F.col(f"`{ids}`")).alias("decoded"))
 
 
-def round_trip(df: DataFrame, path: str, text: str = "text", keys: list[str] | None = None) -> DataFrame:
+def round_trip(df: DataFrame, path: str, text: str = "text", keys: list[str] | None = None, cache_bytes: int = IdCoder.CACHE_BYTES) -> DataFrame:
     """``keys``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every row.
 
     The ids are hashed as decimal numbers joined by commas; the decoded text is
@@ -127,7 +129,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", keys: list[str] | N
 
         def work(texts):
             counts, ids_hash, text_hash = [], [], []
-            for ids in encode_texts(path, [t or "" for t in texts]):
+            for ids in encode_texts(path, [t or "" for t in texts], cache_bytes):
                 ids = ids.tolist()
                 counts.append(len(ids))
                 ids_hash.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())

@@ -56,3 +56,34 @@ def test_stage_equals_brute_force(spark, monkeypatch, broadcast):
     assert None in stays and len(stays) == len(set(stays)) and set(stays) - {None} == set(want.values())
     # links that lie beyond the radius of the fingerprints
     assert len(stays) < hamming_tree.one_of_each(docs).count()
+
+
+@pytest.mark.parametrize("bits", [10, 61])
+def test_packed_shingles_lose_no_link(spark, monkeypatch, bits):
+    # 10 bits: most shingles meet strangers; 61: places beyond 7 are cut off
+    monkeypatch.setattr(shingle_links, "S_BITS", bits)
+    rows = make_rows()
+    found = shingle_links.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in found} == brute(rows)
+
+
+def shuffled_bytes(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_what_is_shuffled_stays_small(spark, tmp_path, monkeypatch):
+    """Texts that share passages but aren't near copies: their shingles are dealt, and few of them are needed again."""
+    rnd = random.Random(7)
+    prose = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
+    passages = [prose(100) for _ in range(400)]
+    rows = [(i, " ".join(prose(100) + passages[i % 400])) for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(shingle_links, "SAMPLE_ROWS", 1)
+    before = shuffled_bytes(spark)
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == len(rows)
+    share = (shuffled_bytes(spark) - before) / sum(len(t) for _, t in rows)
+    print(f"shuffled {share:.2f} x input")
+    assert share < 1.5
