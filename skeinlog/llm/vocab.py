@@ -151,7 +151,7 @@ class WordCoder:
         for words in split:
             if words is not None:
                 fresh.update(words)
-        fresh.difference_update(codes.keys() & fresh)
+        fresh = fresh.difference(codes)
         # str.isspace also holds for U+001C to U+001F, which the pattern takes as visible: the slow way is right for them too
         need, several, wild_parts = set(), {}, set()
         for w in fresh:
@@ -174,12 +174,12 @@ class WordCoder:
         for k in slow:
             wild[k] = [key_of(p) if type(p) is str else p for p in self._cut(texts[k])]
             need.update(p for p in wild[k] if type(p) is str)
-        need.difference_update(codes.keys() & need)
+        need = need.difference(codes)
         todo = list(need)
         for at in range(0, len(todo), 50_000):
             some = todo[at : at + 50_000]
             codes.update(zip(some, self.encode(list(map(piece_of, some))), strict=True))
-        # parts of several pre-tokens are put together for this call
+        # parts of several pre-tokens are put together for this call, or stay like any other where all codes do
         made = {w: self.add([codes[x] for x in keys], self.zero) for w, keys in several.items()}
         codes.update(made)
         out = []
@@ -188,8 +188,11 @@ class WordCoder:
                 out.append(list(map(codes.__getitem__, words)))
             else:
                 out.append([codes[p] if type(p) is str else p[0] for p in wild[k]])
-        for w in made:
-            del codes[w]
+        if self.keep_all:
+            need.update(made)
+        else:
+            for w in made:
+                del codes[w]
         self._forget(need)
         return out
 

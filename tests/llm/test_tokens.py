@@ -104,3 +104,13 @@ def test_packing_loses_nothing(library, docs, rows, empty, vocabulary_file):
         want.update((r[0], at, tuple(ids[at : at + capacity])) for at in range(0, len(ids), capacity))
     assert got == want
     assert best_fit.packed(empty, best_fit.encoder(vocabulary_file)).collect() == []
+
+
+def test_parts_of_several_pre_tokens_are_cut_once(vocabulary_file):
+    table = rank_merge.pair_table(vocabulary_file)
+    coder = rank_merge.IdCoder(rank_merge.load(vocabulary_file), lambda pieces: rank_merge.id_pieces(table, pieces), keep_all=True)
+    find, cut = coder.find, []
+    coder.find = lambda text: cut.append(text) or find(text)
+    text = "it's a well-known part, isn't it?"
+    first, n = coder.lists([text]), len(cut)
+    assert n and coder.lists([text]) == first and len(cut) == n and coder.held
